@@ -1,0 +1,6 @@
+"""Named queries over the driver tables."""
+
+from pitlog.catalog import (  # noqa: F401
+    label_queries,
+)
+from pitlog.catalog.registry import ORACLES, QUERIES  # noqa: F401
