@@ -1,6 +1,7 @@
 """Named queries over the driver tables."""
 
 from pitlog.catalog import (  # noqa: F401
+    feature_queries,
     label_queries,
 )
 from pitlog.catalog.registry import ORACLES, QUERIES  # noqa: F401

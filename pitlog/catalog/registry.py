@@ -35,11 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _OFFSET = 1e-9
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Output form of a compared query: bigint, double at 6 digits, text."""
+def tidy(df: DataFrame, maybe: Iterable[str] = ()) -> DataFrame:
+    """Output form of a compared query: bigint, double at 6 digits, text.
+
+    ``maybe`` names integer columns with NULLs. They come out as doubles, because
+    clients disagree on how to carry a missing integer.
+    """
+    maybe = set(maybe)
+
     def one(f: T.StructField) -> Column:
         c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if f.name in maybe:
+            c = c.cast("double")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double") + F.lit(_OFFSET), 6)
         elif isinstance(f.dataType, T.BooleanType):
             c = c.cast("int").cast("bigint")
@@ -57,17 +65,3 @@ def tidy(df: DataFrame) -> DataFrame:
 def r6(expression: str) -> str:
     """The same rounding in SQL text."""
     return f"ROUND(CAST({expression} AS DOUBLE) + 1e-9, 6)"
-
-
-def select_list(
-    text: Iterable[str] = (), whole: Iterable[str] = (), real: Iterable[str] = ()
-) -> str:
-    """SQL select list with the output form of ``tidy``."""
-    parts = [f"CAST({c} AS VARCHAR) AS {c}" for c in text]
-    parts += [f"CAST({c} AS BIGINT) AS {c}" for c in whole]
-    parts += [f'{r6(_q(c))} AS {_q(c)}' for c in real]
-    return ",\n  ".join(parts)
-
-
-def _q(name: str) -> str:
-    return f'"{name}"'
