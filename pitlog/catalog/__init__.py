@@ -3,5 +3,7 @@
 from pitlog.catalog import (  # noqa: F401
     feature_queries,
     label_queries,
+    probability_queries,
+    profile_queries,
 )
 from pitlog.catalog.registry import ORACLES, QUERIES  # noqa: F401

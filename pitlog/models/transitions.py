@@ -60,10 +60,11 @@ def transition_probabilities(
             out = attach_features(out, table, context)
             counts = F.col(f"n{i}")
         else:
-            counts = table.select(f"n{i}").scalar()
+            # One row of class totals, read once and put into the plan as constants.
+            counts = F.array(*[F.lit(n).cast("bigint") for n in table.first()[f"n{i}"]])
         out = out.withColumn(f"_p{i}", smoothed(counts, prior))
         prior = F.col(f"_p{i}")
-    made = [f"n{i}" for i in range(len(tables))] + [f"_p{i}" for i in range(len(tables))]
+    made = [f"{c}{i}" for c in ("n", "_p") for i in range(len(tables))]
     return out.withColumn(name, prior).drop(*made)
 
 
