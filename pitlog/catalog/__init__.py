@@ -3,6 +3,7 @@
 from pitlog.catalog import (  # noqa: F401
     feature_queries,
     label_queries,
+    model_queries,
     probability_queries,
     profile_queries,
 )

@@ -14,6 +14,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -240,6 +241,20 @@ def forest_pair(
     )
 
 
+def sequence_head(
+    train: DataFrame,
+    inputs: Sequence[str],
+    classes: Sequence[str] = S.SEQUENCE_TYPES,
+    hidden: Sequence[int] = (16,),
+    iterations: int = 20,
+) -> ClassHead:
+    """Feed-forward network on fixed-length sequence inputs, an ensemble member by key."""
+    network = MultilayerPerceptronClassifier(
+        layers=[len(inputs), *hidden, len(classes)], maxIter=iterations, seed=SEED
+    )
+    return ClassHead(classes, "pitch_type_can", FeatureSet([], inputs), network).fit(train)
+
+
 def outcome_heads(
     train: DataFrame, probs: str, classes: Sequence[str] = S.PITCH_TYPES
 ) -> tuple[ClassHead, ClassHead]:
