@@ -145,7 +145,8 @@ _RAW = [*S.PITCH_KEY, "game_date", *Q.RAW_WHOLE, *Q.RAW_MAYBE, *Q.RAW_TEXT, *Q.R
 _RUNNING = ["cum_game_pitches", *Q.COUNTS, *Q.LAGS4, "dvelo1", *Q.running_columns("velocity")[1]]
 _FAMILY = [c for f in Q.PRIOR for c in Q.FAMILIES[f][2]]
 _COLUMNS = [*_RAW, *_RUNNING, *_FAMILY, "count_state"]
-_PHYSICS = ("release_speed", "release_spin_rate")
+# Substring tokens: ``ay`` also takes the away score.
+_PHYSICS = ("release_speed", "release_spin_rate", "away_score")
 _BY_TYPE = tuple(f"_{t}" for t in S.PITCH_TYPES if t != "ST")
 
 

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Two engines add doubles in different orders, so compared values are rounded.
 # The offset moves exact ties (k / 32 of a cent and the like) off the rounding edge.
-_OFFSET = 1e-9
+_OFFSET = "1e-9D"
 
 
 def tidy(df: DataFrame, maybe: Iterable[str] = ()) -> DataFrame:
@@ -43,23 +42,25 @@ def tidy(df: DataFrame, maybe: Iterable[str] = ()) -> DataFrame:
     """
     maybe = set(maybe)
 
-    def one(f: T.StructField) -> Column:
-        c = F.col(f.name)
+    def one(f: T.StructField) -> str:
+        c = f"`{f.name}`"
         if f.name in maybe:
-            c = c.cast("double")
+            e = f"CAST({c} AS DOUBLE)"
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double") + F.lit(_OFFSET), 6)
+            e = f"round(CAST({c} AS DOUBLE) + {_OFFSET}, 6)"
         elif isinstance(f.dataType, T.BooleanType):
-            c = c.cast("int").cast("bigint")
+            e = f"CAST(CAST({c} AS INT) AS BIGINT)"
         elif isinstance(f.dataType, T.IntegralType):
-            c = c.cast("bigint")
+            e = f"CAST({c} AS BIGINT)"
         elif isinstance(f.dataType, T.DateType):
-            c = c.cast("string")
+            e = f"CAST({c} AS STRING)"
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.array_join(c.cast("array<string>"), ",")
-        return c.alias(f.name)
+            e = f"array_join(CAST({c} AS ARRAY<STRING>), ',')"
+        else:
+            e = c
+        return f"{e} AS {c}"
 
-    return df.select([one(f) for f in df.schema.fields])
+    return df.selectExpr(*[one(f) for f in df.schema.fields])
 
 
 def r6(expression: str) -> str:

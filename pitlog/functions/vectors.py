@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,18 +12,31 @@ from pitlog import schema as S
 LOG_CLIP = 1e-15
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    An expression used inside a lambda is evaluated for every element, and again
+    for each mention; a lambda variable is evaluated once.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def softmax(logits: Column) -> Column:
     """Shifted by the row maximum, so large scores do not overflow."""
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return normalise(shifted)
+    return let(
+        F.struct(logits.alias("v"), F.array_max(logits).alias("top")),
+        lambda s: normalise(F.transform(s["v"], lambda x: F.exp(x - s["top"]))),
+    )
 
 
 def normalise(v: Column) -> Column:
-    return F.transform(v, lambda x: x / total(v))
+    return let(
+        v, lambda a: let(total(a), lambda t: F.transform(a, lambda x: x / t))
+    )
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,7 +62,7 @@ def blend(members: Sequence[Column], weights: Sequence[float | Column]) -> Colum
 
 def argmax(v: Column) -> Column:
     """0-based position of the first maximum."""
-    return (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return let(v, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def top_k(v: Column, k: int) -> Column:
@@ -111,15 +124,21 @@ def combine_stages(
     is not the most likely stage-1 class; such rows sum to less than one.
     """
     pos = {c: i for i, c in enumerate(stage1_classes)}
-    p_in = F.try_element_at(stage1, F.lit(pos["IN_PLAY"] + 1))
-    wins = argmax(stage1) == F.lit(pos["IN_PLAY"])
     known = F.coalesce(in_play, F.array_repeat(F.lit(0.0), len(S.IN_PLAY_CLASSES)))
-    scaled = F.transform(known, lambda p: F.when(wins, p * p_in).otherwise(F.lit(0.0)))
-    tail = F.array(
-        F.try_element_at(stage1, F.lit(pos["BALL"] + 1)),
-        F.try_element_at(stage1, F.lit(pos["STRIKE"] + 1)),
+
+    def p(s: Column, name: str) -> Column:
+        return F.try_element_at(s, F.lit(pos[name] + 1))
+
+    def share(s: Column) -> Column:
+        return F.when(argmax(s) == F.lit(pos["IN_PLAY"]), p(s, "IN_PLAY")).otherwise(F.lit(0.0))
+
+    return let(
+        stage1,
+        lambda s: F.concat(
+            let(share(s), lambda w: F.transform(known, lambda x: x * w)),
+            F.array(p(s, "BALL"), p(s, "STRIKE")),
+        ),
     )
-    return F.concat(scaled, tail)
 
 
 def expected_run_value(outcome_probs: Column) -> Column:

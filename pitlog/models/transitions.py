@@ -28,8 +28,11 @@ def class_counts(
 
 def smoothed(counts: Column, prior: Column, alpha: float = ALPHA) -> Column:
     """(count + alpha * prior) / (total + alpha), the prior itself without counts."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    mixed = F.zip_with(counts, prior, lambda n, p: (n + F.lit(alpha) * p) / (total + F.lit(alpha)))
+    rows = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    mixed = V.let(
+        rows,
+        lambda t: F.zip_with(counts, prior, lambda n, p: (n + F.lit(alpha) * p) / (t + F.lit(alpha))),
+    )
     return F.when(counts.isNull(), prior).otherwise(mixed)
 
 
