@@ -115,8 +115,11 @@ def correlations(
 
 
 def _pearson(a: str, b: str) -> Column:
+    """From moments, so that a constant column gives NULL where ``corr`` would divide by zero."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    return F.corr(F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double")))
+    x = F.when(both, F.col(a).cast("double"))
+    y = F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def sparse_target(

@@ -150,7 +150,7 @@ def baselines(df: DataFrame, label: str) -> DataFrame:
     """(metric, value): accuracy of a random guess and of always the largest class."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     row = counts.agg(
-        (1 / F.count(F.lit(1))).alias("random_guess"),
+        F.try_divide(F.lit(1.0), F.count(F.lit(1))).alias("random_guess"),
         F.try_divide(F.max("n"), F.sum("n")).alias("largest_class"),
     )
     return unpivot_row(
