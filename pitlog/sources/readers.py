@@ -70,8 +70,11 @@ def read_park_factors(spark: SparkSession, path: str) -> DataFrame | None:
     return read_optional_csv(spark, path, S.PARK_FACTORS)
 
 
-def with_file_season(df: DataFrame, pattern: str = r"_(\d{4})[^/]*$") -> DataFrame:
-    """Column ``season`` from the name of the file a row came from."""
+def with_file_season(df: DataFrame, pattern: str = r".*_(\d{4})[./]") -> DataFrame:
+    """Column ``season`` from the last ``_YYYY`` in the path a row came from.
+
+    That is the file's name, or its folder's where a season is a folder of parts.
+    """
     season = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     return df.select("*", F.nullif(season, F.lit("")).cast("int").alias("season"))
 
