@@ -45,9 +45,9 @@ c AS (SELECT d, ROW_NUMBER() OVER (ORDER BY d) - 1 AS code FROM (SELECT DISTINCT
 SELECT {KEY_SQL}, CAST(code AS BIGINT) AS code FROM f JOIN c USING (d)""",
 )
 def label_encoding(spark, sf_dir):
-    log = H.fill_inputs(pitches(spark, sf_dir), ["description"], [])
+    log = H.with_inputs(pitches(spark, sf_dir), ["description"], [])
     indexer = StringIndexer(
-        inputCol="description", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"
+        inputCol="_in_description", outputCol="code", stringOrderType="alphabetAsc", handleInvalid="keep"
     )
     return tidy(indexer.fit(log).transform(log).select(*KEY, F.col("code").cast("bigint").alias("code")))
 
@@ -109,9 +109,8 @@ def parameter_search(spark, sf_dir):
         lambda p: RandomForestClassifier(seed=H.SEED, weightCol="w", maxBins=64, **p),
         S.PITCH_TYPES,
         "pitch_type_can",
-        H.FeatureSet(["stand", "count_state"], LIGHT),
+        (["stand", "count_state"], LIGHT),
         SE.trials(space, 3),
-        KEY,
     )
     return tidy(SE.best_trials(results))
 

@@ -27,21 +27,23 @@ from pyspark.sql import functions as F
 from pitlog import schema as S
 from pitlog.functions import labels as L
 from pitlog.functions import vectors as V
-from pitlog.functions.frames import fill
-from pitlog.operators.joins import attach_features
 
 MISSING = "__MISSING__"
 SEED = 42
 
 
+# Model inputs are filled copies under this prefix, so the log's own columns stay as they are.
+_IN = "_in_"
+
+
 def encoder(categorical: Sequence[str], numeric: Sequence[str]) -> Pipeline:
-    """Index text columns in alphabetical order and assemble one feature vector."""
-    indexed = [f"{c}__ix" for c in categorical]
+    """Index text inputs in alphabetical order and assemble one feature vector."""
+    indexed = [f"{_IN}{c}__ix" for c in categorical]
     stages: list[Estimator] = []
     if categorical:
         stages.append(
             StringIndexer(
-                inputCols=list(categorical),
+                inputCols=[f"{_IN}{c}" for c in categorical],
                 outputCols=indexed,
                 stringOrderType="alphabetAsc",
                 handleInvalid="keep",
@@ -49,19 +51,29 @@ def encoder(categorical: Sequence[str], numeric: Sequence[str]) -> Pipeline:
         )
     stages.append(
         VectorAssembler(
-            inputCols=[*numeric, *indexed], outputCol="features", handleInvalid="keep"
+            inputCols=[f"{_IN}{c}" for c in numeric] + indexed,
+            outputCol=f"{_IN}features",
+            handleInvalid="keep",
         )
     )
     return Pipeline(stages=stages)
 
 
-def fill_inputs(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
-    """NULL text to a word, NULL or non-numeric numbers to 0, absent columns added."""
-    typed = df.withColumns(
-        {c: F.col(c).try_cast("double") for c in numeric if c in df.columns}
-        | {c: F.col(c).cast("string") for c in categorical if c in df.columns}
-    )
-    return fill(typed, {c: MISSING for c in categorical} | {c: 0.0 for c in numeric})
+def with_inputs(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> DataFrame:
+    """Add the filled inputs: NULL text to a word, NULL or non-numeric numbers to 0.
+
+    Columns the log lacks become constants.
+    """
+    present = set(df.columns)
+    text = {
+        f"{_IN}{c}": F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) if c in present else F.lit(MISSING)
+        for c in categorical
+    }
+    numbers = {
+        f"{_IN}{c}": F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) if c in present else F.lit(0.0)
+        for c in numeric
+    }
+    return df.withColumns(text | numbers)
 
 
 @dataclass
@@ -73,13 +85,14 @@ class FeatureSet:
     model: PipelineModel | None = None
 
     def fit(self, train: DataFrame) -> FeatureSet:
-        ready = fill_inputs(train, self.categorical, self.numeric)
+        ready = with_inputs(train, self.categorical, self.numeric)
         self.model = encoder(self.categorical, self.numeric).fit(ready)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        ready = fill_inputs(df, self.categorical, self.numeric)
-        return self.model.transform(ready)
+        """``df`` with a column ``features``."""
+        ready = self.model.transform(with_inputs(df, self.categorical, self.numeric))
+        return ready.select(*df.columns, F.col(f"{_IN}features").alias("features"))
 
     @property
     def names(self) -> list[str]:
@@ -155,20 +168,21 @@ class ClassHead:
         self.model = estimator.fit(rows)
         return self
 
-    def score(self, df: DataFrame, key: Sequence[str], name: str = "probs") -> DataFrame:
-        """(key..., name) with one probability per class."""
+    def score_onto(self, df: DataFrame, name: str = "probs") -> DataFrame:
+        """``df`` with one probability per class in ``name``: a projection, no join."""
         scored = self.model.transform(self.features.transform(df))
-        return scored.select(*key, probabilities(scored, len(self.classes)).alias(name))
+        return scored.select(*df.columns, probabilities(scored, len(self.classes)).alias(name))
 
-    def attach(
-        self, df: DataFrame, key: Sequence[str], prefix: str, groups: Mapping | None = None
-    ) -> DataFrame:
-        """Probabilities as columns of ``df``, by key; with ``groups``, group features too."""
-        probs = self.score(df, key, "_p")
+    def score(self, df: DataFrame, key: Sequence[str], name: str = "probs") -> DataFrame:
+        """(key..., name), for storing and for joining with other members."""
+        return self.score_onto(df, name).select(*key, name)
+
+    def attach(self, df: DataFrame, prefix: str, groups: Mapping | None = None) -> DataFrame:
+        """Probabilities as columns of ``df``; with ``groups``, group features too."""
         columns = V.class_columns(F.col("_p"), self.classes, prefix)
         if groups is not None:
             columns |= V.group_features(F.col("_p"), self.classes, groups, prefix)
-        return attach_features(df, probs.select(*key, *[c.alias(n) for n, c in columns.items()]), key)
+        return self.score_onto(df, "_p").select(*df.columns, *[c.alias(n) for n, c in columns.items()])
 
 
 def family_head(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> ClassHead:
@@ -224,9 +238,9 @@ class ValueHead:
         self.model = estimator.fit(ready)
         return self
 
-    def score(self, df: DataFrame, key: Sequence[str], name: str = "prediction") -> DataFrame:
+    def score_onto(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         scored = self.model.transform(self.features.transform(df))
-        return scored.select(*key, F.col("prediction").alias(name))
+        return scored.select(*df.columns, F.col("prediction").alias(name))
 
 
 def forest_pair(
@@ -281,25 +295,21 @@ def with_probability_inputs(df: DataFrame, probs: str, n_classes: int) -> DataFr
 
 
 def outcome_probabilities(
-    df: DataFrame, probs: str, heads: tuple[ClassHead, ClassHead], key: Sequence[str]
+    df: DataFrame, probs: str, heads: tuple[ClassHead, ClassHead], name: str = "outcome_probs"
 ) -> DataFrame:
-    """(key..., outcome 9-vector) of both stages."""
-    n = len(S.PITCH_TYPES)
-    ready = with_probability_inputs(df, probs, n).select(*key, *[f"_x{i}" for i in range(n)])
-    stage1 = heads[0].score(ready, key, "s1")
-    in_play = heads[1].score(ready, key, "ip")
-    return stage1.join(in_play, list(key), "left").select(
-        *key, V.combine_stages(F.col("s1"), F.col("ip")).alias("outcome_probs")
-    )
+    """``df`` with the outcome 9-vector of both stages."""
+    ready = with_probability_inputs(df, probs, len(S.PITCH_TYPES))
+    both = heads[1].score_onto(heads[0].score_onto(ready, "_s1"), "_ip")
+    return both.select(*df.columns, V.combine_stages(F.col("_s1"), F.col("_ip")).alias(name))
 
 
 def two_model_chain(
-    train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], key: Sequence[str]
+    train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]
 ) -> tuple[ClassHead, ClassHead]:
     """Type model, then an outcome model that sees the *predicted* type."""
     typed = train.withColumn("pitch_type_can", F.coalesce("pitch_type_can", F.lit(S.UNKNOWN_TYPE)))
     first = ClassHead(S.PITCH_TYPES, "pitch_type_can", FeatureSet(categorical, numeric)).fit(typed)
-    rows = with_predicted_type(typed, first, key).withColumn(
+    rows = with_predicted_type(typed, first).withColumn(
         "outcome6", L.outcome6(F.col("events"), F.col("description"))
     )
     second = ClassHead(
@@ -310,11 +320,10 @@ def two_model_chain(
     return first, second
 
 
-def with_predicted_type(df: DataFrame, head: ClassHead, key: Sequence[str]) -> DataFrame:
+def with_predicted_type(df: DataFrame, head: ClassHead) -> DataFrame:
     names = F.array(*[F.lit(c) for c in head.classes])
-    best = F.try_element_at(names, V.argmax(F.col("probs")) + 1)
-    predicted = head.score(df, key).select(*key, best.alias("predicted_pitch_type"))
-    return attach_features(df, predicted, key)
+    best = F.try_element_at(names, V.argmax(F.col("_p")) + 1)
+    return head.score_onto(df, "_p").select(*df.columns, best.alias("predicted_pitch_type"))
 
 
 def value_by_type(

@@ -79,7 +79,7 @@ def first_fraction(df: DataFrame, order: Sequence[SortKey], fraction: float) ->
 def pitch_order(date: str = "game_date") -> list[SortKey]:
     return [
         SortKey(F.col(date)),
-        SortKey(F.col("game_pk")),
+        SortKey(F.col("game_pk"), ROW_NUMBER_KEY),
         SortKey(F.col("at_bat_number"), ROW_NUMBER_KEY),
         SortKey(F.col("pitch_number"), ROW_NUMBER_KEY),
     ]

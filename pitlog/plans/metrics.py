@@ -90,7 +90,7 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return unpivot_row(row, {n: n for n in names}, "metric", "value")
 
 
-AUC_BLOCKS = 65_536
+AUC_BLOCKS_PER_LOGIT = 2048
 
 
 def one_vs_rest_auc(
@@ -100,8 +100,13 @@ def one_vs_rest_auc(
 
     Rows are first counted per distinct score. The running count of negatives
     below a score is then taken in two levels: inside blocks of close scores, and
-    over the at most 65,537 blocks of a class. No task sees all scores of a class.
+    over the blocks of a class, about 150,000 at most. No task sees all scores of
+    a class. Blocks are equal steps of the log-odds, so scores crowded near 0 or 1
+    still spread over many.
     """
+    odds = F.ln(F.try_divide(F.col("score"), 1 - F.col("score")))
+    outside = F.when(F.col("score") <= 0, -40.0).otherwise(40.0)
+    block = F.floor(F.coalesce(odds, outside) * AUC_BLOCKS_PER_LOGIT)
     cells = F.array(
         *[
             F.struct(
@@ -116,7 +121,7 @@ def one_vs_rest_auc(
         scored.select(F.inline(cells))
         .groupBy("class_id", "score")
         .agg(F.sum("pos").alias("pos"), F.sum(1 - F.col("pos")).alias("neg"))
-        .withColumn("block", F.floor(F.col("score") * AUC_BLOCKS))
+        .withColumn("block", block)
     )
     inside = Window.partitionBy("class_id", "block").orderBy("score")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitlog import schema as S
@@ -46,79 +46,71 @@ def weighted(train: DataFrame, rate: float = S.DECAY) -> DataFrame:
     )
 
 
-def true_class(df: DataFrame, key: Sequence[str], classes: Sequence[str], label: Column) -> DataFrame:
-    y = H.label_position(label, classes).cast("int")
-    return df.select(*key, y.alias(Y)).where(F.col(Y).isNotNull())
+def with_truth(df: DataFrame, classes: Sequence[str], label: str) -> DataFrame:
+    """Column ``y``, the class position; rows outside the classes are dropped."""
+    y = H.label_position(F.col(label), classes).cast("int")
+    return df.withColumn(Y, y).where(F.col(Y).isNotNull())
 
 
-def evaluate(head: H.ClassHead, df: DataFrame, key: Sequence[str], model: str) -> DataFrame:
-    truth = true_class(df, key, head.classes, F.col(head.label))
-    scored = head.score(df, key).join(truth, list(key), "inner")
-    return M.classification_metrics(scored).select(F.lit(model).alias("model"), "metric", "value")
+def evaluate(head: H.ClassHead, df: DataFrame, model: str) -> DataFrame:
+    scored = head.score_onto(with_truth(df, head.classes, head.label))
+    return _named(M.classification_metrics(scored), model)
 
 
-def ensemble_report(features: DataFrame, key: Sequence[str] = S.PITCH_KEY) -> DataFrame:
-    """(model, metric, value) on validation rows: three members, and their best blend."""
+def _named(metrics: DataFrame, model: str) -> DataFrame:
+    return metrics.select(F.lit(model).alias("model"), "metric", "value")
+
+
+def ensemble_report(features: DataFrame) -> DataFrame:
+    """(model, metric, value) on validation rows: three members, and their best blend.
+
+    The members score the same rows one after the other, as projections of one scan.
+    """
     train, val = split_features(features)
     members = H.type_ensemble(weighted(train), CATEGORICAL, NUMERIC)
-    truth = true_class(val, key, S.PITCH_TYPES, F.col("pitch_type_can"))
-    scored = [h.score(val, key) for h in members.values()]
-    joined = B.join_members(scored, key, len(S.PITCH_TYPES)).join(truth, list(key), "inner")
-    joined = materialise(joined, "scores")
     names = [f"p{i}" for i in range(len(members))]
-    best = B.best_weights(B.score_weights(joined, names, Y, B.tenths_grid(len(members)))).first()
-    weights = [best[f"w{i}"] for i in range(len(members))]
-    blend = B.blended(joined, names, weights)
-    reports = [
-        M.classification_metrics(joined, Y, p).select(F.lit(m).alias("model"), "metric", "value")
-        for m, p in zip(members, names)
-    ]
-    reports.append(
-        M.classification_metrics(blend, Y).select(F.lit("blend").alias("model"), "metric", "value")
-    )
+    scored = with_truth(val, S.PITCH_TYPES, "pitch_type_can")
+    for name, head in zip(names, members.values()):
+        scored = head.score_onto(scored, name)
+    scored = materialise(scored.select(*S.PITCH_KEY, Y, *names), "scores")
+    best = B.best_weights(B.score_weights(scored, names, Y, B.tenths_grid(len(members)))).first()
+    blend = B.blended(scored, names, [best[f"w{i}"] for i in range(len(members))])
+    reports = [_named(M.classification_metrics(scored, Y, p), m) for m, p in zip(members, names)]
+    reports.append(_named(M.classification_metrics(blend, Y), "blend"))
     return reduce(DataFrame.unionByName, reports)
 
 
-def family_features(features: DataFrame, key: Sequence[str] = S.PITCH_KEY) -> DataFrame:
+def family_features(features: DataFrame) -> DataFrame:
     """Every row with its family probabilities, the head fitted on the first 80 %."""
     train, _ = split_features(features)
-    head = H.family_head(train, CATEGORICAL, NUMERIC)
-    return head.attach(features, key, "FAM_PROB_")
+    return H.family_head(train, CATEGORICAL, NUMERIC).attach(features, "FAM_PROB_")
 
 
-def stacked_features(features: DataFrame, key: Sequence[str] = S.PITCH_KEY) -> DataFrame:
+def stacked_features(features: DataFrame) -> DataFrame:
     """Every row with type probabilities, their groups, maximum and entropy."""
     train, _ = split_features(features)
     head = H.ClassHead(S.PITCH_TYPES, "pitch_type_can", H.FeatureSet(CATEGORICAL, NUMERIC)).fit(train)
-    return head.attach(features, key, "PT_PROB_", S.PROBABILITY_GROUPS)
+    return head.attach(features, "PT_PROB_", S.PROBABILITY_GROUPS)
 
 
 def value_report(features: DataFrame, target: str) -> DataFrame:
     """(model, metric, value) of the boosted value regressor with early stopping."""
-    key = list(S.PITCH_KEY)
     table = materialise(features, "value")
     early = first_fraction(table, pitch_order(), 0.8)
     rows = weighted(table.withColumn("held", ~early))
     head = H.ValueHead(target, H.FeatureSet(CATEGORICAL, NUMERIC), None, "w", "held").fit(rows)
-    held = rows.where("held")
-    scored = attach_features(held.select(*key, target), head.score(held, key), key)
-    return M.regression_metrics(scored, target, "prediction").select(
-        F.lit("value").alias("model"), "metric", "value"
-    )
+    scored = head.score_onto(rows.where("held"))
+    return _named(M.regression_metrics(scored, target, "prediction"), "value")
 
 
 def forest_report(features: DataFrame, target: str) -> DataFrame:
-    key = list(S.PITCH_KEY)
     train, val = split_features(features)
     clf, reg = H.forest_pair(S.PITCH_TYPES, "pitch_type_can", target, CATEGORICAL, NUMERIC)
     train = weighted(train)
     clf.fit(train)
     reg.fit(train)
-    scored = attach_features(val.select(*key, target), reg.score(val, key), key)
-    return evaluate(clf, val, key, "forest_classifier").unionByName(
-        M.regression_metrics(scored, target, "prediction").select(
-            F.lit("forest_regressor").alias("model"), "metric", "value"
-        )
+    return evaluate(clf, val, "forest_classifier").unionByName(
+        _named(M.regression_metrics(reg.score_onto(val), target, "prediction"), "forest_regressor")
     )
 
 
@@ -130,16 +122,16 @@ def outcome_rows(features: DataFrame, probs: DataFrame, key: Sequence[str] = S.P
     )
     early = first_fraction(rows, pitch_order(), 0.8)
     heads = H.outcome_heads(rows.where(early), "probs")
-    out = H.outcome_probabilities(rows, "probs", heads, key)
+    out = H.outcome_probabilities(rows, "probs", heads)
     return out.select(*key, V.expected_run_value(F.col("outcome_probs")).alias("run_value"))
 
 
-def chain_report(features: DataFrame, key: Sequence[str] = S.PITCH_KEY) -> DataFrame:
+def chain_report(features: DataFrame) -> DataFrame:
     """(model, metric, value) of the type model and of the outcome model behind it."""
     train, val = split_features(features)
-    first, second = H.two_model_chain(train, CATEGORICAL, NUMERIC, key)
+    first, second = H.two_model_chain(train, CATEGORICAL, NUMERIC)
     typed = val.withColumn("pitch_type_can", F.coalesce("pitch_type_can", F.lit(S.UNKNOWN_TYPE)))
-    rows = H.with_predicted_type(typed, first, key).withColumn(
+    rows = H.with_predicted_type(typed, first).withColumn(
         "outcome6", L.outcome6(F.col("events"), F.col("description"))
     )
-    return evaluate(first, typed, key, "type").unionByName(evaluate(second, rows, key, "outcome"))
+    return evaluate(first, typed, "type").unionByName(evaluate(second, rows, "outcome"))

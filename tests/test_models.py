@@ -54,7 +54,7 @@ def test_one_vs_rest_member_is_normalised(split):
 
 
 def test_attach_adds_group_columns(split, head):
-    out = head.attach(split[1], KEY, "PT_PROB_", S.PROBABILITY_GROUPS)
+    out = head.attach(split[1], "PT_PROB_", S.PROBABILITY_GROUPS)
     row = out.select([c for c in out.columns if c.startswith("PT_PROB_")]).first()
     assert row["PT_PROB_FASTBALL_GROUP"] == pytest.approx(
         row["PT_PROB_FF"] + row["PT_PROB_SI"] + row["PT_PROB_FC"]
@@ -86,7 +86,7 @@ def test_search_orders_trials_by_loss(split):
     results = SE.search(
         split[0], split[1],
         lambda p: RandomForestClassifier(seed=1, weightCol="w", **p),
-        S.PITCH_TYPES, "pitch_type_can", H.FeatureSet(["stand"], NUMERIC), settings, KEY,
+        S.PITCH_TYPES, "pitch_type_can", (["stand"], NUMERIC), settings,
     )
     losses = [r["log_loss"] for r in SE.best_trials(results).collect()]
     assert len(losses) == 2 and losses == sorted(losses)
