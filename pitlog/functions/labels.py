@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +16,14 @@ def lookup(key: Column, table: Mapping[str, object], default: object) -> Column:
     return F.coalesce(F.try_element_at(literal, key), F.lit(default))
 
 
+def position(value: Column, values: Sequence[str]) -> Column:
+    """0-based position in a fixed list, NULL outside it."""
+    out = F.when(value == values[0], 0)
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(value == v, i)
+    return out
+
+
 def canonical_type(code: Column, table: Mapping[str, str] = S.CANONICAL_TYPES) -> Column:
     return lookup(code, table, S.UNKNOWN_TYPE)
 

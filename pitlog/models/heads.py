@@ -108,10 +108,7 @@ class FeatureSet:
 
 def label_position(label: Column, classes: Sequence[str]) -> Column:
     """0-based class position as MLlib wants it; NULL outside the classes."""
-    whens = None
-    for i, c in enumerate(classes):
-        whens = F.when(label == c, float(i)) if whens is None else whens.when(label == c, float(i))
-    return whens
+    return L.position(label, classes).cast("double")
 
 
 def ensemble_members(max_bins: int = 32, size: int = 1) -> dict[str, Estimator]:

@@ -89,14 +89,20 @@ class Family:
         return metric if value is None else self.pattern.format(metric=metric, value=value)
 
     def cells(self) -> list[tuple[str | None, str]]:
-        """(category value, name stem of the cell) pairs."""
+        """(category value, name stem of the cell) pairs; a cell's number is its position."""
         if self.category is None:
             return [(None, f"_{self.name}")]
         return [(v, f"_{self.name}_{v}") for v in self.values]
 
     def row_columns(self) -> dict[str, Column]:
-        """What one log row contributes: its cell, and each metric's parts."""
-        inside = F.lit("") if self.category is None else self.category
+        """What one log row contributes: its cell's number, and each metric's parts.
+
+        Every aggregate tests the cell, and numbers compare faster than texts.
+        """
+        if self.category is None:
+            inside = F.lit(0)
+        else:
+            inside = L.position(self.category, self.values)
         cell = inside if self.where is None else F.when(self.where, inside)
         out = {f"_{self.name}__cell": cell}
         for m in self.metrics:
@@ -113,8 +119,8 @@ def daily_wide(df: DataFrame, entity: str, date: str, families: Sequence[Family]
     )
     sums = []
     for fam in families:
-        for value, stem in fam.cells():
-            here = f"`_{fam.name}__cell` = '{value or ''}'"
+        for number, (_, stem) in enumerate(fam.cells()):
+            here = f"`_{fam.name}__cell` = {number}"
             sums.append(f"count_if({here}) AS `{stem}__n`")
             for m in fam.metrics:
                 for part in ("num", "den") if m.den is not None else ("num",):

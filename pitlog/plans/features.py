@@ -42,7 +42,9 @@ def _cols() -> dict[str, Column]:
 # --- families that end the day before ---------------------------------------
 
 
-def arsenal_family(min_rows: int | None = None, densify: bool = False, **how) -> Family:
+def arsenal_family(
+    min_rows: int | None = None, densify: bool = False, shares: str | None = None, **how
+) -> Family:
     c = _cols()
     return Family(
         "arsenal",
@@ -55,11 +57,17 @@ def arsenal_family(min_rows: int | None = None, densify: bool = False, **how) ->
         where=F.col("release_speed").isNotNull() & F.col("release_spin_rate").isNotNull(),
         category=c["pt"],
         values=S.PITCH_TYPES,
+        shares=shares,
         min_rows=min_rows,
         densify=densify,
     )
 
 
+def arsenal_and_usage() -> Family:
+    """F1 and F2 over the same cells, so their counts are taken once."""
+    return arsenal_family(shares="usage_30d")
+
+
 def usage_family() -> Family:
     return Family(
         "usage",
@@ -211,7 +219,7 @@ def platoon_with_today_family() -> Family:
     )
 
 
-PITCHER_PRIOR = (arsenal_family, usage_family, count_state_family, form_family, platoon_family)
+PITCHER_PRIOR = (arsenal_and_usage, count_state_family, form_family, platoon_family)
 BATTER_PRIOR = (batter_xwoba_family, k_rate_family)
 
 
