@@ -16,6 +16,7 @@ from pitlog.operators import windows as W
 from pitlog.operators.rolling import rolling_features
 from pitlog.operators.sequence import running_features
 from pitlog.plans import features as P
+from pitlog.sources.readers import build_crosswalk
 
 # --- window primitives on lineitem: supplier x return flag x ship day ---------
 
@@ -540,3 +541,93 @@ FROM offline LEFT JOIN nation ON home_team = 'T' || CAST(n_nationkey AS VARCHAR)
 def f21(spark, sf_dir):
     log = pitches(spark, sf_dir, S.CANONICAL_TYPES_TO_DATE)
     return tidy(P.offline_table(log, _parks(spark, sf_dir)), Q.RAW_MAYBE)
+
+
+# --- options of the families --------------------------------------------------------
+
+
+@query(
+    "f01_min_rows",
+    f"""WITH {pitches_sql()}, {_ARSENAL_DAILY},
+w AS (SELECT *, AVG(velocity) OVER x AS v30, SUM(cnt) OVER x AS n30 FROM d
+  WINDOW x AS (PARTITION BY pitcher, cat ORDER BY game_date {Q.W30})),
+m AS (SELECT pitcher, game_date, cat, CASE WHEN n30 >= 5 THEN v30 END AS velocity_30d FROM w),
+{Q.wide("p", "m", "pitcher", S.PITCH_TYPES, ["velocity_30d"])}
+SELECT pitcher, CAST(game_date AS VARCHAR) AS game_date
+{Q.reals(Q.names(["velocity_30d"], S.PITCH_TYPES))} FROM p""",
+)
+def f01_min_rows(spark, sf_dir):
+    """Rates from fewer than five pitches are blank."""
+    wide = rolling_features(
+        pitches(spark, sf_dir), "pitcher", "game_date", [P.arsenal_family(min_rows=5)]
+    )
+    return tidy(wide.select("pitcher", "game_date", *[f"velocity_30d_{t}" for t in S.PITCH_TYPES]))
+
+
+@query(
+    "f01_densified",
+    f"""WITH {pitches_sql()}, {_ARSENAL_DAILY},
+k AS (SELECT DISTINCT pitcher, game_date FROM d),
+v AS (SELECT unnest([{", ".join(repr(t) for t in S.PITCH_TYPES)}]) AS cat),
+g AS (SELECT k.pitcher, k.game_date, v.cat, d.whiff_rate FROM k CROSS JOIN v
+  LEFT JOIN d ON d.pitcher = k.pitcher AND d.game_date = k.game_date AND d.cat = v.cat),
+w AS (SELECT pitcher, game_date, cat,
+  AVG(whiff_rate) OVER (PARTITION BY pitcher, cat ORDER BY game_date {Q.W30}) AS whiff_rate_30d FROM g),
+{Q.wide("p", "w", "pitcher", S.PITCH_TYPES, ["whiff_rate_30d"])}
+SELECT pitcher, CAST(game_date AS VARCHAR) AS game_date
+{Q.reals(Q.names(["whiff_rate_30d"], S.PITCH_TYPES))} FROM p""",
+)
+def f01_densified(spark, sf_dir):
+    """Per-type history on every day, so that a value no longer reveals the day's types."""
+    wide = rolling_features(
+        pitches(spark, sf_dir), "pitcher", "game_date", [P.arsenal_family(densify=True)]
+    )
+    return tidy(wide.select("pitcher", "game_date", *[f"whiff_rate_30d_{t}" for t in S.PITCH_TYPES]))
+
+
+@query(
+    "f04_pooled",
+    f"""WITH {pitches_sql()},
+{Q.daily("d", "pitcher", None, {
+    "n": "COUNT(*)", "s": "SUM(release_speed)",
+    "wh": "SUM(CASE WHEN description = 'swinging_strike' THEN 1 ELSE 0 END)",
+    "hr": f"SUM(CASE WHEN events IN {Q.HITS} THEN 1 ELSE 0 END)"}, "release_speed IS NOT NULL")},
+w AS (SELECT pitcher, game_date, SUM(s) OVER x / SUM(n) OVER x AS velocity_7d,
+  SUM(wh) OVER x / SUM(n) OVER x AS whiff_rate_7d, SUM(hr) OVER x / SUM(n) OVER x AS hit_rate_7d
+  FROM d WINDOW x AS (PARTITION BY pitcher ORDER BY game_date {Q.W7}))
+SELECT pitcher, CAST(game_date AS VARCHAR) AS game_date
+{Q.reals(["velocity_7d", "whiff_rate_7d", "hit_rate_7d"])} FROM w""",
+)
+def f04_pooled(spark, sf_dir):
+    """Form weighted by pitches instead of by days."""
+    family = P.form_family(pooled=True)
+    return tidy(rolling_features(pitches(spark, sf_dir), "pitcher", "game_date", [family]))
+
+
+@query("distinct_pairs", "SELECT DISTINCT l_suppkey AS mlbam, l_partkey AS fg FROM lineitem")
+def distinct_pairs(spark, sf_dir):
+    """The crosswalk build: distinct id pairs."""
+    players = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("key_mlbam"), F.col("l_partkey").alias("key_fangraphs")
+    )
+    return tidy(build_crosswalk(players))
+
+
+@query(
+    "concat_frames",
+    """SELECT o_custkey AS entity, """
+    + r6("o_totalprice")
+    + """ AS amount, NULL::DOUBLE AS balance FROM orders
+UNION ALL SELECT c_custkey, NULL, """
+    + r6("c_acctbal")
+    + " FROM customer",
+)
+def concat_frames(spark, sf_dir):
+    """Row concatenation by name with columns only one side has."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("entity"), F.col("o_totalprice").alias("amount")
+    )
+    people = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("entity"), F.col("c_acctbal").alias("balance")
+    )
+    return tidy(J.concat([orders, people]))

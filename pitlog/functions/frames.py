@@ -23,15 +23,20 @@ def strict(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast to ``schema``; columns the input lacks become typed NULLs."""
+def conform(df: DataFrame, schema: T.StructType, lenient: bool = False) -> DataFrame:
+    """Cast to ``schema``; columns the input lacks become typed NULLs.
+
+    ``lenient`` turns values that do not fit into NULLs instead of failing.
+    """
     present = set(df.columns)
-    return df.select(
-        [
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+
+    def one(f: T.StructField) -> Column:
+        if f.name not in present:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        c = F.col(f.name)
+        return (c.try_cast(f.dataType) if lenient else c.cast(f.dataType)).alias(f.name)
+
+    return df.select([one(f) for f in schema.fields])
 
 
 def downcast(df: DataFrame) -> DataFrame:

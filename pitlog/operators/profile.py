@@ -27,8 +27,13 @@ def load_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _share_of_total(counts: DataFrame, column: str) -> Column:
-    return F.try_divide(F.col(column), counts.agg(F.sum(column)).scalar())
+def _totals(counts: DataFrame, *columns: str) -> Column:
+    """One scalar subquery with the sums of all ``columns``.
+
+    It reads exactly what the counts read, so Spark shares their exchange and the
+    log is scanned once.
+    """
+    return counts.agg(F.struct(*[F.sum(c).alias(c) for c in columns])).scalar()
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -36,7 +41,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     counts = (
         df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     )
-    return counts.withColumn("share", _share_of_total(counts, "n"))
+    return counts.withColumn("share", F.try_divide(F.col("n"), _totals(counts, "n")["n"]))
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -49,10 +54,11 @@ def weighted_distribution(df: DataFrame, label: str, weight: str) -> DataFrame:
     sums = df.where(F.col(label).isNotNull()).groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w_sum")
     )
+    whole = _totals(sums, "n", "w_sum")
     return sums.select(
         label,
-        _share_of_total(sums, "n").alias("share"),
-        _share_of_total(sums, "w_sum").alias("weighted_share"),
+        F.try_divide(F.col("n"), whole["n"]).alias("share"),
+        F.try_divide(F.col("w_sum"), whole["w_sum"]).alias("weighted_share"),
     ).withColumn("delta", F.col("weighted_share") - F.col("share"))
 
 

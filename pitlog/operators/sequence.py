@@ -41,9 +41,10 @@ def running_features(
     means:     name -> value; mean over earlier rows, NULL until a value was seen
     lags:      name -> (column, k); value k rows before, NULL before the start
 
-    ``order`` must be total inside a sequence. Its first column is an integer and
-    sets the blocks: ``block_width`` consecutive values share one. ``None`` runs
-    one window per sequence, for logs whose sequences are known to be short.
+    Keys and order columns must not be NULL, and ``order`` must be total inside a
+    sequence. Its first column is an integer and sets the blocks: ``block_width``
+    consecutive values share one. ``None`` runs one window per sequence, for logs
+    whose sequences are known to be short.
     """
     counts, means, lags = dict(counts or {}), dict(means or {}), dict(lags or {})
     parts = {f"_c_{n}": F.when(c, 1).otherwise(0) for n, c in counts.items()}

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from pitlog import schema as S
 from pitlog.functions.frames import numeric_columns
-from pitlog.operators.joins import attach_features, entity_overlap
+from pitlog.operators.joins import entity_overlap
 from pitlog.operators.profile import correlations
 from pitlog.operators.selection import bucket_of, leaky_columns
 from pitlog.operators.sequence import running_features
@@ -80,14 +80,13 @@ def recompute_running(
     On rows of a type, the running mean must be the mean of the earlier rows of
     that type and the running count their number, which the first row has none of.
     """
-    again = running_features(
-        df.select(*S.PITCH_KEY, "pitcher", "pitch_type_can", "release_speed"),
+    both = running_features(
+        df,
         [*GAME, "pitch_type_can"],
         IN_GAME,
         row_count="_n",
         means={"_mean": F.col("release_speed")},
-    ).select(*S.PITCH_KEY, "pitcher", "_n", "_mean")
-    both = attach_features(df, again, [*S.PITCH_KEY, "pitcher"])
+    )
     bad = {}
     for t in TYPES:
         here = F.col("pitch_type_can") == t

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from pitlog import schema as S
 from pitlog.functions.frames import downcast, keep, strict
-from pitlog.sources.readers import with_file_season
+from pitlog.sources.readers import read_csv, with_file_season
 from pitlog.sources.writers import write_partitioned
 
 
@@ -37,7 +37,6 @@ def convert_csv(spark: SparkSession, in_dir: str, out_dir: str) -> None:
 
     The year comes from the file name (``..._2020.csv``).
     """
-    raw = spark.read.option("header", True).option("inferSchema", True).csv(f"{in_dir}/*.csv")
-    named = with_file_season(raw)
+    named = with_file_season(read_csv(spark, f"{in_dir}/*.csv"))
     ten = strict(named, [*S.CONVERT_COLUMNS, "season"]).withColumnRenamed("season", "year")
     write_partitioned(ten, out_dir, "year", codec="snappy", mode="overwrite")

@@ -44,12 +44,14 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with a header. Without a schema the types are inferred, which reads the data twice.
 
-    Fields are matched to the schema by header name, whatever their order in the file.
+    Fields are matched to the schema by header name, whatever their order, and values
+    that do not fit become NULL. Files whose headers differ from each other are an
+    error, not a silent mix of columns.
     """
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
-    return conform(reader.csv(path), schema)
+    return conform(reader.csv(path), schema, lenient=True)
 
 
 def read_optional_csv(

@@ -95,3 +95,13 @@ def test_materialised_tables_use_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     assert df.inputFiles()[0].replace("file://", "").startswith(root)
     assert df.count() == 5
+
+
+def test_shares_scan_the_log_once(spark):
+    from pitlog.operators.profile import value_counts, weighted_distribution
+
+    log = pitches(spark, SF).withColumn("w", F.col("pitch_number") * 0.5)
+    for df in (value_counts(log, "pitch_type"), weighted_distribution(log, "pitch_type_can", "w")):
+        df.collect()
+        text = plan(df).split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in text
