@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitlog import schema as S
 from pitlog.catalog import feature_sql as Q
 from pitlog.catalog.registry import query, r6, table, tidy
-from pitlog.catalog.standin import KEY, pitches, pitches_sql
+from pitlog.catalog.standin import pitches, pitches_sql
 from pitlog.functions.weights import time_decay
 from pitlog.operators import joins as J
 from pitlog.operators import profile as P

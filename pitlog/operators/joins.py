@@ -26,7 +26,10 @@ def crosswalk_join(df: DataFrame, crosswalk: DataFrame, key: str, name: str) ->
 
 
 def attach_features(df: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join a (entity, day) feature table; the log keeps its rows and column order."""
+    """Left join a table with unique keys: (entity, day) features, or predictions by row key.
+
+    The log keeps its rows and column order; rows without a match get NULLs.
+    """
     extra = [c for c in features.columns if c not in keys]
     return df.join(features, list(keys), "left").select(*df.columns, *extra)
 
@@ -61,11 +64,6 @@ def broadcast_back_max(df: DataFrame, keys: Sequence[str], column: str, name: st
     return df.join(top, list(keys), "left").select(*df.columns, name)
 
 
-def attach_predictions(df: DataFrame, predictions: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Left join scored rows by key; rows without a score get NULLs."""
-    return attach_features(df, predictions, key)
-
-
 def matching_rows(df: DataFrame, kept: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows whose key survives in ``kept``."""
     return df.join(kept.select(*key), list(key), "left_semi")

@@ -282,7 +282,3 @@ def leak_gate(
                 )
             )
     return reduce(DataFrame.unionByName, parts)
-
-
-def run_all(reports: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, reports)

@@ -39,7 +39,7 @@ def test_csv_conversion_reads_every_file(spark, tmp_path):
     names = [c.split()[0] for c in TWELVE.split(", ")]
     for year in (2020, 2021):
         lines = [",".join(names)] + [",".join("" if v is None else str(v) for v in r) for r in ROWS]
-        (src / f"statcast_{year}.csv").write_text("\n".join(lines) + "\n")
+        (src / f"pitches_{year}.csv").write_text("\n".join(lines) + "\n")
     landing.convert_csv(spark, str(src), str(out))
     got = spark.read.parquet(str(out))
     assert got.count() == 6 and set(got.columns) == {*S.CONVERT_COLUMNS, "year"}
