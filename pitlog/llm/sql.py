@@ -1,0 +1,3 @@
+"""What DuckDB computes for the queries that SQL can express."""
+
+ORACLES: dict[str, str] = {}
