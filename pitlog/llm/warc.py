@@ -129,7 +129,7 @@ class Writer:
 
     def _open(self) -> None:
         self.name = f"{self.path}/{uuid.uuid4().hex}.warc.zst"
-        self.out = self.store.open_output_stream(self.name)
+        self.out = self.store.open_output_stream(self.name, compression=None)
         self.records = self.bytes = 0
         if self.dictionary:
             held = zstandard.ZstdCompressor(level=LEVEL).compress(self.dictionary)
@@ -283,7 +283,7 @@ def read(manifest: DataFrame, payloads: bool = True, where: str | None = None) -
         rows, size = [], 0
         for b in batches:
             for path in b.column(0).to_pylist():
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     for data in frames(stream):
                         found = parse(data)
                         if found["warc-type"] == b"warcinfo":
