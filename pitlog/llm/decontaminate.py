@@ -195,16 +195,13 @@ def find(
 ) -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_hit, items (sorted) and spans of word positions."""
     names = {k: free_name(docs, f"{out}_{k}") for k in ("words", "hits", "items", "starts", "ends")}
-    blocks = _blocks(items, item_id, item_text) or [[]]
-    columns, at = docs.columns, docs
-    for k, block in enumerate(blocks):
+    known = {k: free_name(docs, f"{out}_{k}_before") for k in ("items", "starts", "ends")}
+    columns, at, before = docs.columns, docs, []
+    for k, block in enumerate(_blocks(items, item_id, item_text) or [[]]):
         if k:  # what the earlier blocks found rides along
-            before = [F.col(names[x]) for x in ("items", "starts", "ends")]
-            at = keep(at.drop(names["words"], names["hits"]), "contamination")
-            at = at.withColumnsRenamed({names[x]: f"{names[x]}_before" for x in ("items", "starts", "ends")})
-            before = [F.col(f"{names[x]}_before") for x in ("items", "starts", "ends")]
-        else:
-            before = []
+            found = [F.col(f"`{names[x]}`").alias(known[x]) for x in known]
+            at = keep(at.select(*[F.col(f"`{c}`") for c in columns], *found), "contamination")
+            before = [F.col(f"`{known[x]}`") for x in known]
         shared, own = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def start(shared=shared, own=own) -> Callable[..., tuple]:
@@ -233,7 +230,7 @@ def find(
             f"`{names['words']}` bigint, `{names['hits']}` bigint, `{names['items']}` array<string>, "
             f"`{names['starts']}` array<bigint>, `{names['ends']}` array<bigint>"
         )
-        at = add_columns(at, [utf8(text), *before], start, ddl)
+        at = add_columns(at, [utf8(f"`{text}`"), *before], start, ddl)
     struct = F.struct(
         F.col(names["words"]).alias("n_words"),
         F.col(names["hits"]).alias("n_hit"),
@@ -270,6 +267,6 @@ def clean(
         return lambda t, s, e: (without(t, list(zip(s, e))).decode("utf-8", "replace") if s else None,)
 
     spans = F.col(mark)["spans"]
-    at = add_columns(at, [utf8(text), spans["start"], spans["end"]], start, f"`{cut}` string")
+    at = add_columns(at, [utf8(f"`{text}`"), spans["start"], spans["end"]], start, f"`{cut}` string")
     kept = F.coalesce(F.col(cut), F.col(f"`{text}`")).alias(text)
     return at.select(*[kept if c == text else F.col(f"`{c}`") for c in docs.columns])

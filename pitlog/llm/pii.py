@@ -350,10 +350,8 @@ def as_digest(found: str = "pii") -> dict[str, Column]:
     spans = F.col(found)
     text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter(spans, lambda s: s["base"])
-    counts = {
-        f"n_{kind}": F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("bigint") for kind in KINDS
-    }
-    return counts | {
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return {f"n_{kind}": of(kind) for kind in KINDS} | {
         "base_sha256": F.sha2(F.concat_ws(",", F.transform(base, text)).cast("binary"), 256),
         "spans": F.concat_ws(",", F.transform(spans, text)),
     }

@@ -51,7 +51,7 @@ _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)
 _PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
 # Encoded runs start with what the structures start with: 0x30 0x80+ (DER), a four-byte length
 # under 256 (SSH fields) or the OpenSSH name, in base64 or hex.
-_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_=-])(?:M[I-P]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{{{LEAST_ENCODED},}}={{0,2}}")
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:M[I-P]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{{{LEAST_ENCODED},}}={{0,2}}")
 _HEXED = re.compile(rf"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]|000000)[0-9A-Fa-f]{{{2 * LEAST_ENCODED},}}")
 
 _OPENSSH = b"openssh-key-v1\0"
@@ -208,10 +208,8 @@ def as_digest(found: str = "secrets") -> dict:
     spans = F.col(found)
     text = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     base = F.filter(spans, lambda s: ~s["confirmed"])
-    counts = {
-        f"n_{kind}": F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("bigint") for kind in KINDS
-    }
-    return counts | {
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+    return {f"n_{kind}": of(kind) for kind in KINDS} | {
         "base_sha256": F.sha2(F.concat_ws(",", F.transform(base, text)).cast("binary"), 256),
         "spans": F.concat_ws(",", F.transform(spans, text)),
     }

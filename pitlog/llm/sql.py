@@ -1,3 +1,116 @@
 """What DuckDB computes for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _folded(text: str) -> str:
+    return f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
+
+
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_PLAIN = r"'[^\x20\x09-\x0D]+'"
+
+DECONTAMINATION = f"""
+WITH items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all({_folded("text")}, {_ALNUM}) AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM (SELECT item, w, least(len(w), 13) AS m FROM items WHERE len(w) > 0))
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_folded("text")}, {_ALNUM}) AS w FROM documents
+), places AS (
+  SELECT rid, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)
+), hits AS (
+  SELECT rid, p.m, i, item FROM places p JOIN windows v ON p.m = v.m AND p.win = v.win
+), words AS (
+  SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + m)) AS k FROM hits) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN words USING (rid) LEFT JOIN named USING (rid)
+"""
+
+JACCARD = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all({_folded("text")}, {_PLAIN}) AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * k >= 80 * (p.n + q.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM docs LEFT JOIN sizes USING (doc_id)
+JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+MIXING = f"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_PLAIN})) AS BIGINT) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
+  FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight
+  FROM sized GROUP BY source
+), priced AS (
+  SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS cap_price FROM sources
+), stepped AS (
+  SELECT *, ((SELECT sum(source_size)::DOUBLE FROM sources)
+      - coalesce(sum(cap) OVER (ORDER BY cap_price, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      / sum(weight) OVER (ORDER BY cap_price, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS price
+  FROM priced
+), goals AS (
+  SELECT source, source_size, coalesce(least(cap, weight * free), cap) AS target
+  FROM stepped, (SELECT arg_min(price, (cap_price, source)) AS free FROM stepped WHERE cap_price >= price)
+), budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM goals
+), placed AS (
+  SELECT s.*, b.source_size, b.target, b.copies, b.target - b.copies * b.source_size AS budget,
+         sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto
+  FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target,
+       CAST((copies + CASE WHEN upto <= budget THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM placed
+"""
+
+WARC = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages
+), best AS (
+  SELECT h, max(page_id) AS response FROM p GROUP BY h
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+         ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31)
+         + 1 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+FROM p JOIN best USING (h)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": DECONTAMINATION,
+    "op6_jaccard_join": JACCARD,
+    "op9_mixing": MIXING,
+    "op10_warc": WARC,
+}
