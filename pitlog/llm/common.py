@@ -70,6 +70,20 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return _ARROW[kind]
 
 
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit the rows that travel to Python at once, as texts may be long.
+
+    The setting is the session's; a smaller one stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def add_columns(
     df: DataFrame,
     inputs: list[Column],
@@ -83,6 +97,7 @@ def add_columns(
     their other columns pass through untouched, so no join by id is needed and repeated or
     missing ids do no harm.
     """
+    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     width, kinds = len(df.columns), [_arrow(f.dataType) for f in new]
     names = [free_name(df, f"input_{i}") for i in range(len(inputs))]

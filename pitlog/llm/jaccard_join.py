@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitlog.llm.common import add_columns, keep
+from pitlog.llm.common import add_columns, keep, small_batches
 from pitlog.llm.components import components
 
 SHINGLE = 5
@@ -226,6 +226,7 @@ def index(docs: DataFrame, key: str, text: str, n_sets: int, percent: int, k: in
                 names=["doc", "n", "set", "short", "keys"],
             )
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("binary").alias("t"))
     return chosen.mapInArrow(run, "doc bigint, n bigint, set binary, short bigint, keys array<bigint>")
 

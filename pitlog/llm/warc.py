@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitlog.llm.common import bounded_sample, folder, keep
+from pitlog.llm.common import bounded_sample, folder, keep, small_batches
 
 DICTIONARY_BYTES = 110 * 1024
 SAMPLE_RECORDS = 1_000
@@ -238,6 +238,7 @@ def write(
         "response",
         (F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit"),
     )
+    small_batches(spark)
     store, base = fs.FileSystem.from_uri(path)
     store.create_dir(base, recursive=True)
     shared = spark.sparkContext.broadcast(train_dictionary(at))
