@@ -143,14 +143,13 @@ def daily_arsenal(spark, sf_dir):
     f"""WITH {pitches_sql()} SELECT pitcher, {r6(Q.WHIFF)} AS rate, {r6(Q.WHIFF_BOOL)} AS bool_rate,
   CAST(SUM(CASE WHEN description = 'swinging_strike' THEN 1 ELSE 0 END) AS BIGINT) AS hits,
   CAST(SUM((description = 'swinging_strike')::INT) AS DOUBLE) AS bool_hits
-FROM pitches WHERE balls = 0 OR description IS NULL GROUP BY pitcher""",
+FROM pitches GROUP BY pitcher""",
 )
 def rate_float(spark, sf_dir):
     """Conditional count against boolean sum: they differ where all texts are NULL."""
     whiff = L.is_whiff(F.col("description"))
-    log = pitches(spark, sf_dir).where((F.col("balls") == 0) | F.col("description").isNull())
     return tidy(
-        log.groupBy("pitcher").agg(
+        pitches(spark, sf_dir).groupBy("pitcher").agg(
             (F.sum(L.flag(whiff)) / F.count(F.lit(1))).alias("rate"),
             (F.sum(whiff.cast("int")) / F.count(F.lit(1))).alias("bool_rate"),
             F.sum(L.flag(whiff)).alias("hits"),
@@ -295,14 +294,14 @@ def _crosswalk(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     ids = s.select(
         F.col("s_suppkey").alias("mlbam"), (F.col("s_suppkey") * 10 + F.col("s_nationkey")).alias("fg")
-    ).where("mlbam % 5 <> 0")
+    )
     return ids.unionByName(ids.where("mlbam % 7 = 0").withColumn("fg", F.col("fg") + 100_000))
 
 
 @query(
     "crosswalk_join",
     f"""WITH {pitches_sql()}, x AS (SELECT s_suppkey AS mlbam, MIN(s_suppkey * 10 + s_nationkey) AS fg
-  FROM supplier WHERE s_suppkey % 5 <> 0 GROUP BY 1)
+  FROM supplier GROUP BY 1)
 SELECT {KEY_SQL}, CAST(xb.fg AS DOUBLE) AS batter_fg, CAST(xp.fg AS DOUBLE) AS pitcher_fg
 FROM pitches LEFT JOIN x xb ON batter = xb.mlbam LEFT JOIN x xp ON pitcher = xp.mlbam""",
 )

@@ -15,7 +15,6 @@ from pitlog.catalog import feature_sql as Q
 from pitlog.catalog.probability_queries import scored
 from pitlog.catalog.registry import query, tidy
 from pitlog.catalog.standin import KEY, KEY_SQL, pitches, pitches_sql
-from pitlog.functions import labels as L
 from pitlog.functions import vectors as V
 from pitlog.models import heads as H
 from pitlog.models import search as SE
@@ -24,20 +23,12 @@ from pitlog.plans import features as FE
 from pitlog.plans import training as T
 
 XWOBA = "estimated_woba_using_speedangle"
-LIGHT = ["balls", "strikes", "outs_when_up", "cum_game_pitches"]
 
 
 def _features(spark, sf_dir):
     return FE.historical_table(pitches(spark, sf_dir))
 
 
-def _light(spark, sf_dir):
-    """Pitches with the count label and two lags, for models that need no history."""
-    return FE.within_game(pitches(spark, sf_dir)).withColumn(
-        "count_state", L.count_label12(F.col("balls"), F.col("strikes"))
-    )
-
-
 @query(
     "label_encoding",
     f"""WITH {pitches_sql()}, f AS (SELECT *, COALESCE(description, '__MISSING__') AS d FROM pitches),
@@ -59,7 +50,7 @@ def type_ensemble(spark, sf_dir):
 
 @query("forest_pair")
 def forest_pair(spark, sf_dir):
-    return tidy(T.forest_report(_light(spark, sf_dir), XWOBA))
+    return tidy(T.forest_report(_features(spark, sf_dir), XWOBA))
 
 
 @query("value_regressor")
@@ -69,12 +60,12 @@ def value_regressor(spark, sf_dir):
 
 @query("family_probabilities")
 def family_probabilities(spark, sf_dir):
-    return tidy(T.family_features(_light(spark, sf_dir)).select(*KEY, *[f"FAM_PROB_{f}" for f in S.FAMILIES]))
+    return tidy(T.family_features(_features(spark, sf_dir)).select(*KEY, *[f"FAM_PROB_{f}" for f in S.FAMILIES]))
 
 
 @query("stacked_probabilities")
 def stacked_probabilities(spark, sf_dir):
-    out = T.stacked_features(_light(spark, sf_dir))
+    out = T.stacked_features(_features(spark, sf_dir))
     return tidy(out.select(*KEY, *[c for c in out.columns if c.startswith("PT_PROB_")]))
 
 
@@ -86,14 +77,14 @@ def outcome_heads(spark, sf_dir):
 
 @query("two_model_chain")
 def two_model_chain(spark, sf_dir):
-    return tidy(T.chain_report(_light(spark, sf_dir)))
+    return tidy(T.chain_report(_features(spark, sf_dir)))
 
 
 @query("expected_value_by_type")
 def expected_value_by_type(spark, sf_dir):
-    log = _light(spark, sf_dir)
+    log = _features(spark, sf_dir)
     train, _ = T.split_features(log)
-    heads = H.value_by_type(train, XWOBA, LIGHT)
+    heads = H.value_by_type(train, XWOBA, T.NUMERIC)
     rows = scored(spark, sf_dir, 1).select(*KEY, "p0")
     joined = log.join(rows, KEY, "inner")
     return tidy(H.expected_value(joined, heads, "p0", S.PITCH_TYPES).select(*KEY, "expected_xwoba"))
@@ -101,7 +92,7 @@ def expected_value_by_type(spark, sf_dir):
 
 @query("parameter_search")
 def parameter_search(spark, sf_dir):
-    train, val = T.split_features(_light(spark, sf_dir))
+    train, val = T.split_features(_features(spark, sf_dir))
     space = {"numTrees": [3, 5], "maxDepth": [3, 4], "subsamplingRate": [0.8, 1.0]}
     results = SE.search(
         train,
@@ -109,7 +100,7 @@ def parameter_search(spark, sf_dir):
         lambda p: RandomForestClassifier(seed=H.SEED, weightCol="w", maxBins=64, **p),
         S.PITCH_TYPES,
         "pitch_type_can",
-        (["stand", "count_state"], LIGHT),
+        (T.CATEGORICAL, T.NUMERIC),
         SE.trials(space, 3),
     )
     return tidy(SE.best_trials(results))
@@ -117,8 +108,8 @@ def parameter_search(spark, sf_dir):
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    features = H.FeatureSet(["stand", "count_state"], LIGHT)
-    head = H.ClassHead(S.PITCH_TYPES, "pitch_type_can", features).fit(_light(spark, sf_dir))
+    features = H.FeatureSet(T.CATEGORICAL, T.NUMERIC)
+    head = H.ClassHead(S.PITCH_TYPES, "pitch_type_can", features).fit(_features(spark, sf_dir))
     return tidy(H.importances(head))
 
 

@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +36,7 @@ SEED = 42
 _IN = "_in_"
 
 
-def encoder(categorical: Sequence[str], numeric: Sequence[str]) -> Pipeline:
+def encoder(categorical: Sequence[str], numeric: Sequence[str], one_hot: bool = False) -> Pipeline:
     """Index text inputs in alphabetical order and assemble one feature vector."""
     indexed = [f"{_IN}{c}__ix" for c in categorical]
     stages: list[Estimator] = []
@@ -49,6 +49,9 @@ def encoder(categorical: Sequence[str], numeric: Sequence[str]) -> Pipeline:
                 handleInvalid="keep",
             )
         )
+    if categorical and one_hot:
+        codes, indexed = indexed, [f"{c}__1h" for c in indexed]
+        stages.append(OneHotEncoder(inputCols=codes, outputCols=indexed, handleInvalid="keep"))
     stages.append(
         VectorAssembler(
             inputCols=[f"{_IN}{c}" for c in numeric] + indexed,
@@ -78,15 +81,27 @@ def with_inputs(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str
 
 @dataclass
 class FeatureSet:
-    """The inputs of a model and, once fitted, their encoding."""
+    """The inputs of a model and, once fitted, their encoding.
+
+    Trees take categories as codes; linear models and networks need ``one_hot``.
+    """
 
     categorical: Sequence[str]
     numeric: Sequence[str]
     model: PipelineModel | None = None
+    one_hot: bool = False
 
     def fit(self, train: DataFrame) -> FeatureSet:
-        ready = with_inputs(train, self.categorical, self.numeric)
-        self.model = encoder(self.categorical, self.numeric).fit(ready)
+        """Fit the encoding, once: heads that share inputs share it.
+
+        Rows to score may lack inputs, rows to fit on may not.
+        """
+        if self.model is None:
+            lacking = sorted(set(self.names) - set(train.columns))
+            if lacking:
+                raise ValueError(f"training rows lack inputs: {lacking}")
+            ready = with_inputs(train, self.categorical, self.numeric)
+            self.model = encoder(self.categorical, self.numeric, self.one_hot).fit(ready)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -131,12 +146,13 @@ def ensemble_members(max_bins: int = 32, size: int = 1) -> dict[str, Estimator]:
 def probabilities(scored: DataFrame, n_classes: int) -> Column:
     """Probability array of a scored frame.
 
-    One-vs-rest gives raw scores only; their sigmoids are normalised to one.
+    One-vs-rest gives raw scores only. The margin of boosted trees is half the log-odds, so the
+    probability is the sigmoid of twice the score; these are normalised to one.
     """
     if "probability" in scored.columns:
         return V.pad(vector_to_array("probability"), n_classes)
     raw = vector_to_array("rawPrediction")
-    return V.pad(V.normalise(F.transform(raw, lambda x: 1 / (1 + F.exp(-x)))), n_classes)
+    return V.pad(V.normalise(F.transform(raw, lambda x: 1 / (1 + F.exp(-2 * x)))), n_classes)
 
 
 @dataclass
@@ -196,11 +212,12 @@ def type_ensemble(
     size: int = 1,
     weight: str | None = "w",
 ) -> dict[str, ClassHead]:
-    """Three fitted members that share one encoding."""
-    features = FeatureSet(categorical, numeric).fit(train)
+    """Three fitted members; the tree members share one encoding, the linear one is one-hot."""
+    codes = FeatureSet(categorical, numeric).fit(train)
+    ones = FeatureSet(categorical, numeric, one_hot=True)
     return {
-        name: ClassHead(classes, "pitch_type_can", features, est, weight).fit(train)
-        for name, est in ensemble_members(features.max_bins, size).items()
+        name: ClassHead(classes, "pitch_type_can", ones if name == "linear" else codes, est, weight).fit(train)
+        for name, est in ensemble_members(codes.max_bins, size).items()
     }
 
 
@@ -220,9 +237,9 @@ class ValueHead:
 
     def fit(self, train: DataFrame) -> ValueHead:
         rows = train.where(F.col(self.target).isNotNull())
-        self.features.fit(rows)
         w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
-        held = F.col(self.validation) if self.validation else F.lit(False)
+        held = F.coalesce(F.col(self.validation), F.lit(False)) if self.validation else F.lit(False)
+        self.features.fit(rows.where(~held))
         ready = self.features.transform(rows).select(
             "features", F.col(self.target).cast("double").alias("label"),
             w.alias("w"), held.alias("held_out"),
@@ -328,15 +345,14 @@ def value_by_type(
     target: str,
     numeric: Sequence[str],
     classes: Sequence[str] = S.SEQUENCE_TYPES,
-    minimum_rows: int = 20,
 ) -> dict[str, ValueHead]:
-    """One value regressor per pitch type; types with too few rows get none."""
+    """One value regressor per pitch type with a row; a type without rows has none."""
     rows = train.where(F.col(target).isNotNull() & F.col("pitch_type_can").isin(*classes))
     counts = {r["pitch_type_can"]: r["n"] for r in
               rows.groupBy("pitch_type_can").agg(F.count(F.lit(1)).alias("n")).collect()}
     heads = {}
     for c in classes:
-        if counts.get(c, 0) >= minimum_rows:
+        if counts.get(c, 0) > 0:
             est = GBTRegressor(maxIter=3, maxDepth=3, seed=SEED, weightCol="w")
             heads[c] = ValueHead(target, FeatureSet([], numeric), est).fit(
                 rows.where(F.col("pitch_type_can") == c)
@@ -369,10 +385,10 @@ def expected_value(
     return out.withColumn(name, V.dot(F.col(probs), values)).select(*df.columns, name)
 
 
-def importances(head: ClassHead | ValueHead, n: int = 15) -> DataFrame:
-    """(feature, importance), largest first. As many rows as the model has features."""
+def importances(head: ClassHead | ValueHead) -> DataFrame:
+    """(feature, importance) of all features, largest first."""
     values = [float(x) for x in head.model.featureImportances.toArray()]
     rows = SparkSession.active().createDataFrame(
         list(zip(head.features.names, values)), "feature string, importance double"
     )
-    return rows.orderBy(F.desc("importance"), "feature").limit(n)
+    return rows.orderBy(F.desc("importance"), "feature")

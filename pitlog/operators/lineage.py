@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,22 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pitlog.session import checkpoint_dir
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a local session may fall back to its own disk."""
-    folder = checkpoint_dir(spark)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="run-")
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for cut lineage that all executors share, if the session names one."""
+    folder = checkpoint_dir(spark) or spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/") if folder else None
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
     A lost executor then costs a re-read, not a recomputation, and later readers
-    still prune columns. The folder's owner removes old tables.
+    still prune columns. The folder's owner removes old tables. Without a shared
+    folder ``df`` is returned as it is and later readers compute it again.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession)
+    if folder is None:
+        return df
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -35,7 +35,7 @@ ROW_NUMBER_KEY = (16, 0)
 
 
 def value_at(df: DataFrame, order: Sequence[SortKey], position: int) -> list[object]:
-    """The sort values of the row at 1-based ``position``; sort values must not be NULL."""
+    """The sort values of the row at 1-based ``position``; NULL sorts first."""
     scope, left, found = df, position, []
     for key in order:
         value = None
@@ -52,19 +52,24 @@ def value_at(df: DataFrame, order: Sequence[SortKey], position: int) -> list[obj
                 raise ValueError(f"no row at position {position}")
             value = row["v"]
             left -= row["upto"] - row["n"]
-            scope = scope.where(step == F.lit(value))
+            scope = scope.where(step.eqNullSafe(F.lit(value)))
         found.append(value)
     return found
 
 
 def at_or_before(order: Sequence[SortKey], boundary: Sequence[object]) -> Column:
-    """Row comparison with the boundary, written so that its first column can be pushed down."""
+    """Row comparison with the boundary, written so that its first column can be pushed down.
+
+    NULL sorts first, so the condition is never NULL and its negation has all other rows.
+    """
     test: Column | None = None
     for key, value in reversed(list(zip(order, boundary))):
-        here = F.lit(value)
-        test = (key.value <= here) if test is None else (
-            (key.value <= here) & ((key.value < here) | test)
-        )
+        missing = key.value.isNull()
+        if value is None:
+            before, upto = F.lit(False), missing
+        else:
+            before, upto = missing | (key.value < F.lit(value)), missing | (key.value <= F.lit(value))
+        test = upto if test is None else upto & (before | test)
     return test
 
 
@@ -85,13 +90,15 @@ def pitch_order(date: str = "game_date") -> list[SortKey]:
     ]
 
 
-def sample_rows(df: DataFrame, key: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+def sample_rows(
+    df: DataFrame, key: Sequence[str], n: int, seed: int = 42, rows: int | None = None
+) -> DataFrame:
     """Exactly ``n`` rows (all, if fewer) by smallest hash of the row key.
 
     The pick depends on key and seed only, not on how the rows are partitioned,
-    so a lost executor recomputes the same sample.
+    so a lost executor recomputes the same sample. ``rows`` is the number of rows, if known.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if n >= rows:
         return df
     order = _hash_order(key, seed)
@@ -102,7 +109,8 @@ def sample_fraction(
     df: DataFrame, key: Sequence[str], fraction: float, seed: int = 42
 ) -> DataFrame:
     """int(fraction * rows) rows without replacement."""
-    return sample_rows(df, key, int(df.count() * fraction), seed)
+    rows = df.count()
+    return sample_rows(df, key, int(rows * fraction), seed, rows)
 
 
 def _hash_order(key: Sequence[str], seed: int) -> list[SortKey]:

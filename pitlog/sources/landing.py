@@ -8,10 +8,15 @@ from pyspark.sql import types as T
 
 from pitlog import schema as S
 from pitlog.functions.frames import downcast, keep, strict
+from pitlog.sources.paths import exists
 from pitlog.sources.readers import read_csv, with_file_season
 from pitlog.sources.writers import write_partitioned
 
 
+# The folder name Spark gives to a NULL partition value.
+NO_SEASON = "__HIVE_DEFAULT_PARTITION__"
+
+
 def clean_season(landed: DataFrame) -> DataFrame:
     """Date cast, essential columns that exist, floats for storage, season from the date."""
     typed = {f.name: f.dataType for f in S.RAW_PITCH.fields}
@@ -28,8 +33,23 @@ def clean_season(landed: DataFrame) -> DataFrame:
 
 
 def land(landed: DataFrame, out: str, mode: str = "ignore") -> None:
-    """Write landed rows partitioned by season; a table that exists is left alone."""
-    write_partitioned(clean_season(landed), out, "season", mode=mode)
+    """Write landed rows partitioned by season.
+
+    With ``ignore`` the seasons that are there are left alone and the others are added, with
+    ``overwrite`` the landed seasons are replaced; seasons that did not land always stay. A
+    season's folder is moved into place when its write ends, so one that is there is whole.
+    """
+    rows = clean_season(landed)
+    if mode == "ignore":
+        spark = landed.sparkSession
+        seasons = [r["season"] for r in rows.select("season").distinct().collect()]
+        there = [s for s in seasons if exists(spark, f"{out}/season={NO_SEASON if s is None else s}")]
+        if len(there) == len(seasons):
+            return
+        for season in there:
+            rows = rows.where(~F.col("season").eqNullSafe(F.lit(season)))
+        mode = "overwrite"
+    write_partitioned(rows, out, "season", mode=mode)
 
 
 def convert_csv(spark: SparkSession, in_dir: str, out_dir: str) -> None:

@@ -20,15 +20,17 @@ def write_partitioned(
     codec: str = "zstd",
     mode: str = "overwrite",
 ) -> None:
-    """One folder per partition value.
+    """One folder per partition value; overwriting replaces only the values that ``df`` has.
 
-    Rows are not gathered by partition value first: a season is a large part of
-    the log, and one task per season would hold all of it. A task writes one file
-    for each value it meets, and files are cut at a row limit.
+    Rows of a value are brought together so that it gets few files, but a season is a
+    large part of the log: adaptive execution splits what is too big for one task, and
+    files are cut at a row limit.
     """
     (
-        df.write.mode(mode)
+        df.hint("rebalance", partition)
+        .write.mode(mode)
         .option("compression", codec)
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", ROWS_PER_FILE)
         .partitionBy(partition)
         .parquet(path)

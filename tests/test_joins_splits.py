@@ -60,6 +60,18 @@ def test_first_fraction_is_exact(spark, fraction):
     assert got == wanted
 
 
+@pytest.mark.parametrize("fraction", [0.1, 0.4, 0.8])
+def test_rows_with_null_order_come_first_and_none_are_lost(spark, fraction):
+    days = [None, "2023-04-01", None, "2023-04-02", "2023-04-03", "2023-04-03", None]
+    rows = [(dt.date.fromisoformat(d) if d else None, i % 2 or None, i, i) for i, d in enumerate(days)]
+    log = spark.createDataFrame(rows, "game_date date, game_pk long, at_bat_number long, pitch_number long")
+    early = SP.first_fraction(log, SP.pitch_order(), fraction)
+    first = [r["at_bat_number"] for r in log.where(early).collect()]
+    rest = [r["at_bat_number"] for r in log.where(~early).collect()]
+    in_order = [r["at_bat_number"] for r in log.orderBy("game_date", "game_pk", "at_bat_number").collect()]
+    assert sorted(first) == sorted(in_order[: int(fraction * 7)]) and sorted(first + rest) == list(range(7))
+
+
 def test_sample_is_exact_and_independent_of_partitioning(spark):
     log = ordered_log(spark)
     key = ["at_bat_number", "pitch_number"]

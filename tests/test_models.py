@@ -1,9 +1,10 @@
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from pitlog import schema as S
-from pitlog.catalog.model_queries import _light
+from pitlog.catalog.model_queries import _features
 from pitlog.functions import vectors as V
 from pitlog.models import heads as H
 from pitlog.models import registry as R
@@ -17,7 +18,7 @@ NUMERIC = ["balls", "strikes", "cum_game_pitches"]
 
 @pytest.fixture(scope="module")
 def split(spark):
-    return T.split_features(_light(spark, SF))
+    return T.split_features(_features(spark, SF))
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +54,30 @@ def test_one_vs_rest_member_is_normalised(split):
     assert totals.agg(F.min("s")).first()[0] == pytest.approx(1.0)
 
 
+def test_one_vs_rest_probabilities_are_those_of_its_members(split):
+    train = T.weighted(split[0]).withColumn("side", F.element_at(F.array(*map(F.lit, "abc")), (F.col("balls") % 3 + 1).cast("int")))
+    head = H.ClassHead("abc", "side", H.FeatureSet([], ["strikes", "pitch_number"]), H.ensemble_members()["boosted"], "w")
+    head.fit(train)
+    rows = head.features.transform(train).orderBy(*KEY).limit(20)
+    own = [
+        [r["p"][1] for r in m.transform(rows).select(vector_to_array("probability").alias("p")).collect()]
+        for m in head.model.models
+    ]
+    got = [r["probs"] for r in head.score(rows.drop("features"), KEY).collect()]
+    for i, probs in enumerate(got):
+        total = sum(member[i] for member in own)
+        assert probs == pytest.approx([member[i] / total for member in own])
+
+
+def test_fitting_without_an_input_is_an_error(split):
+    with pytest.raises(ValueError, match="no_such"):
+        H.FeatureSet(["stand"], ["balls", "no_such"]).fit(split[0])
+    ones = H.FeatureSet(["stand"], ["balls"], one_hot=True).fit(split[0])
+    sizes = {r["features"].size for r in ones.transform(split[1]).select("features").limit(3).collect()}
+    stands = split[0].select("stand").distinct().count()
+    assert sizes == {1 + stands + 1}  # one for labels that training has not seen
+
+
 def test_attach_adds_group_columns(split, head):
     out = head.attach(split[1], "PT_PROB_", S.PROBABILITY_GROUPS)
     row = out.select([c for c in out.columns if c.startswith("PT_PROB_")]).first()

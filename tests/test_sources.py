@@ -64,6 +64,31 @@ def test_landing_types_partitions_and_ignores_existing(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_seasons_that_do_not_land_stay(spark, tmp_path):
+    out, features = str(tmp_path / "landed"), str(tmp_path / "features")
+
+    def season(year, *speeds):
+        rows = [(f"{year}-05-01" if year else None, "7", str(s)) for s in speeds]
+        return spark.createDataFrame(rows, "game_date string, game_pk string, release_speed string")
+
+    def found(path):
+        rows = spark.read.parquet(path).select("season", "release_speed").collect()
+        return sorted(((r["season"] or 0, r["release_speed"]) for r in rows))
+
+    landing.land(season(2022, 1, 2), out)
+    landing.land(season(2023, 3).unionByName(season(2022, 9)), out)
+    assert found(out) == [(2022, 1.0), (2022, 2.0), (2023, 3.0)]
+    landing.land(season(2023, 4), out)
+    landing.land(season(None, 5), out)
+    landing.land(season(None, 6), out)
+    assert found(out) == [(0, 5.0), (2022, 1.0), (2022, 2.0), (2023, 3.0)]
+    landing.land(season(2023, 4, 5), out, mode="overwrite")
+    assert found(out) == [(0, 5.0), (2022, 1.0), (2022, 2.0), (2023, 4.0), (2023, 5.0)]
+    for year, speed in ((2022, 1), (2023, 2), (2023, 3)):
+        writers.write_features(landing.clean_season(season(year, speed)), features)
+    assert found(features) == [(2022, 1.0), (2023, 3.0)]
+
+
 def test_feature_table_roundtrip(spark, tmp_path):
     path = str(tmp_path / "features")
     df = spark.createDataFrame(
