@@ -479,7 +479,7 @@ SELECT {KEY_SQL},
 FROM seq WHERE pitch_type_can <> 'ST'""",
 )
 def f18(spark, sf_dir):
-    out = P.sequence_arrays(P.sequence_block(pitches(spark, sf_dir)))
+    out = P.sequence_arrays(P.sequence_block(pitches(spark, sf_dir)), include_current=True)
     check = F.lit(0.0)
     for place, weight in zip(range(4, -1, -1), (1, 2, 3, 4, 5)):
         check = check + F.col("seq_dvelo")[place] * weight

@@ -357,16 +357,19 @@ def _type_id(code: Column, vocabulary: Sequence[str], padding: int) -> Column:
     return L.lookup(code, {c: i for i, c in enumerate(vocabulary)}, padding)
 
 
-def sequence_arrays(df: DataFrame, depth: int = 5) -> DataFrame:
+def sequence_arrays(df: DataFrame, depth: int = 5, include_current: bool = False) -> DataFrame:
     """``sequence_block`` columns to oldest-first arrays and a target id.
 
+    The velocity steps are those between earlier pitches. ``include_current=True`` moves them by
+    one and ends with the step into the current pitch, which is known only once it is thrown.
     Rows whose target is NULL or outside the vocabulary are dropped.
     """
     target = F.try_element_at(
         F.create_map(*[F.lit(x) for i, c in enumerate(S.SEQUENCE_TYPES) for x in (c, i)]),
         F.col("pitch_type_can"),
     )
-    steps = ["dvelo_current"] + [f"dvelo{k}" for k in range(2, depth + 1)]
+    known = [F.col(f"dvelo{k}") for k in range(2, depth + 1)]
+    steps = [F.col("dvelo_current"), *known] if include_current else [*known, F.lit(0.0)]
 
     def oldest_first(columns: Sequence[Column]) -> Column:
         return F.reverse(F.array(*columns))
@@ -381,7 +384,7 @@ def sequence_arrays(df: DataFrame, depth: int = 5) -> DataFrame:
             "seq_strikes": oldest_first(
                 [F.coalesce(F.col(f"prev_strikes{k}"), F.lit(0)) for k in ks]
             ),
-            "seq_dvelo": oldest_first([F.coalesce(F.col(c), F.lit(0.0)) for c in steps]),
+            "seq_dvelo": oldest_first([F.coalesce(c, F.lit(0.0)) for c in steps]),
             "target_id": target,
         }
     ).where(F.col("target_id").isNotNull())
@@ -415,10 +418,16 @@ def slot_arrays(df: DataFrame, include_current: bool = False, slots: int = 5) ->
 
 
 def prepare(
-    raw: DataFrame, crosswalk: DataFrame | None = None, table=S.CANONICAL_TYPES
+    raw: DataFrame,
+    crosswalk: DataFrame | None = None,
+    table=S.CANONICAL_TYPES,
+    columns: Sequence[str] = S.FEATURE_KEEP,
 ) -> DataFrame:
-    """Keep-list, date cast, canonical type and player ids."""
-    out = keep(raw, S.FEATURE_KEEP).withColumns(
+    """Keep-list, date cast, canonical type and player ids.
+
+    The offline table keeps more of the raw log: ``columns=S.OFFLINE_KEEP``.
+    """
+    out = keep(raw, columns).withColumns(
         {
             "game_date": F.to_date("game_date"),
             "pitch_type_can": L.canonical_type(F.col("pitch_type"), table),

@@ -44,6 +44,17 @@ LANDING_KEEP = (
     "launch_speed launch_angle hit_distance_sc hc_x hc_y"
 ).split()
 
+# Columns the offline feature table keeps, in output order.
+OFFLINE_KEEP = [
+    "game_date", "game_pk", "at_bat_number", "pitch_number", "inning", "inning_topbot", "batter", "pitcher",
+    "stand", "p_throws", "home_team", "outs_when_up", "on_1b", "on_2b", "on_3b", "home_score", "away_score",
+    "balls", "strikes", "pitch_type", "pitch_name", "release_speed", "effective_speed", "release_extension",
+    "release_spin_rate", "pfx_x", "pfx_z", "plate_x", "plate_z", "spin_axis", "sz_top", "sz_bot", "zone",
+    "release_pos_x", "release_pos_y", "release_pos_z", "vx0", "vy0", "vz0", "ax", "ay", "az", "events",
+    "description", "delta_home_win_exp", "delta_run_exp", "home_win_exp", "bat_win_exp", "launch_speed",
+    "launch_angle", "hit_distance_sc", "hc_x", "hc_y", "estimated_woba_using_speedangle",
+]
+
 # The strict ten-column subset of the CSV conversion.
 CONVERT_COLUMNS = (
     "game_date pitch_type events release_speed release_spin_rate "

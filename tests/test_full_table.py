@@ -47,7 +47,10 @@ def test_schema_does_not_depend_on_the_values_present(spark, raw):
 
 def test_offline_table_columns(spark, raw):
     """80 including-today features with nine types in use; the fixed list has a tenth."""
-    table = P.offline_table(P.prepare(raw, table=S.CANONICAL_TYPES_TO_DATE))
+    log = P.prepare(raw, table=S.CANONICAL_TYPES_TO_DATE, columns=S.OFFLINE_KEEP)
+    table = P.offline_table(log)
+    assert len(S.OFFLINE_KEEP) == len(set(S.OFFLINE_KEEP)) == 54
+    assert set(table.columns) >= set(raw.columns) & set(S.OFFLINE_KEEP)
     made = [c for c in table.columns if c[:1].isupper()]
     assert len([c for c in made if not c.endswith("_ST")]) == 80
 

@@ -116,6 +116,9 @@ def test_game_features_on_two_pitchers(spark):
     row = arrays[(1, 10, 2, 2)]
     assert row["seq_types"] == [8, 8, 0, 1, 0] and row["target_id"] == 2
     assert row["seq_balls"] == [0, 0, 0, 1, 0]
+    for r in P.sequence_arrays(P.sequence_block(df), include_current=True).collect():
+        other = arrays[r["pitcher"], r["game_pk"], r["at_bat_number"], r["pitch_number"]]
+        assert other["seq_dvelo"] == [0.0, *r["seq_dvelo"][:-1]]
 
     slots = P.slot_arrays(P.within_game(df)).collect()
     assert all(r["pitch_type_can"] != "OTHER" for r in slots)
