@@ -101,9 +101,16 @@ def entity_overlap(splits: Mapping[str, DataFrame], entity: str) -> DataFrame:
 
 
 def union_ranges(df: DataFrame, ranges: Sequence[tuple[str, str]], date: str) -> DataFrame:
-    """Rows of several inclusive date ranges; a row in two ranges appears twice."""
-    parts = [df.where(between_dates(date, f"{a}:{b}")) for a, b in ranges]
-    return reduce(DataFrame.unionByName, parts)
+    """Rows of several inclusive date ranges; a row in two ranges appears twice.
+
+    One scan: the filter on all ranges is pushed into it, and a row is repeated per range it is in.
+    """
+    inside = [between_dates(date, f"{a}:{b}") for a, b in ranges]
+    if not inside:
+        return df.limit(0)
+    times = F.array_compact(F.array(*[F.when(test, F.lit(1)) for test in inside]))
+    named = df.where(reduce(lambda a, b: a | b, inside)).select("*", F.explode(times))
+    return named.toDF(*df.columns, "_range").drop("_range")
 
 
 def concat(frames: Sequence[DataFrame]) -> DataFrame:

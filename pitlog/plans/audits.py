@@ -101,8 +101,8 @@ def recompute_running(
 
 
 def early_null(df: DataFrame, features: Sequence[str] | None = None, entity: str = "pitcher") -> DataFrame:
-    """Non-NULL prior-window features on an entity's first day."""
-    features = list(features or [c for c in df.columns if "30d_" in c])
+    """Non-NULL prior-window features (30 and 7 days) on an entity's first day."""
+    features = list(features or [c for c in df.columns if "30d_" in c or c.endswith("_7d")])
     first = df.groupBy(entity).agg(F.min("game_date").alias("_first"))
     opening = df.join(first, entity, "inner").where(F.col("game_date") == F.col("_first"))
     row = opening.agg(*[F.count(f).alias(f) for f in features])
