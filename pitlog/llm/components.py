@@ -24,21 +24,28 @@ def _star(sides: DataFrame, keep_side: str) -> DataFrame:
     return hung.unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root: no node has two parents, or a parent and children."""
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+    )).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return nodes.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``links`` (a, b); a component is its smallest node.
 
     Each round hangs larger neighbours, then smaller ones, on the least neighbour; both passes
     only group and join on the node. Rounds grow with the logarithm of the longest path.
     """
-    edges = keep(links.select("a", "b").where("a != b").distinct(), "edges")
-    mark = None
+    edges = links.select("a", "b").where("a != b")
     while True:
-        edges = _star(_both_ways(edges), "larger").where("a != b").distinct()
+        edges = _star(_both_ways(edges), "larger").where("a != b")
         lower = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         edges = keep(_star(lower, "smaller").where("a != b").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if _is_done(edges):
             break
-        mark = now
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

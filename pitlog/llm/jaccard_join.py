@@ -14,12 +14,15 @@ pigeonhole needs, so that a set's full ones suffice: it is not indexed under emp
 which many sets have, unless too few are full. What is spare beyond that is halved with the
 partner, and the smallest segments are left out.
 
-What is indexed is one set per class of equal sets, by a 128-bit hash. Candidates are reduced
-before they are verified: first each set meets the least set of its keys' lists; sets found
-linked are one component, and lists within one component are done. Then every pair of a list
-whose components differ is verified, so no link between components is lost, while a group of
-near copies costs one check a member and not one a pair. Verification compares the shingles of
-the whole texts themselves.
+What is indexed is one set per class of equal sets, by a 128-bit hash (its first half names it in
+lists and components). Candidates are reduced
+before they are verified. Each set leaves out the longest of its lists, as far as the spare
+allows, which are those of passages that many texts share. In a few rounds each set then meets
+one head of its lists; sets found linked are one component, and lists within one component are
+done. At last every pair of a list whose components differ is tried: if sketches of the two
+sets (parities of token counts) do not rule it out, it is verified. So no link between components
+is lost, while a group of near copies costs a few checks a member and not one a pair.
+Verification compares the shingles of the whole texts themselves.
 
 A text without words (or null) has no shingles and links with nothing. Repeated rows and equal
 texts are one class. A row without an id takes part like others but names no component; a
@@ -31,7 +34,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +52,14 @@ PERCENT = 80
 BAND_GROWTH = 1.5
 PAIR_COST = 20.0  # of a candidate pair, in index keys
 IDS_BROADCAST = 500_000
+SETS_BROADCAST = 50_000
+ROUNDS = 2
+SKETCH_WORDS = 16
 REMEMBERED = 300_000
 
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_BAND = np.uint64(63)
 _S30, _S27, _S31, _S32 = (np.uint64(k) for k in (30, 27, 31, 32))
 
 
@@ -149,22 +157,23 @@ def allocation(band: int, n_sets: int, percent: int = PERCENT) -> tuple[int, int
     return best[1], best[2]
 
 
-def index_keys(h: np.ndarray, n_sets: int, percent: int = PERCENT) -> np.ndarray:
-    """The keys under which a set is indexed; ``h`` are its sorted distinct token hashes.
+def index_keys(h: np.ndarray, n_sets: int, percent: int = PERCENT) -> tuple[np.ndarray, dict[int, int]]:
+    """The keys under which a set may be found, and by band how many of them it may do without.
 
-    A differing token spoils one segment, so of the segments of this set with at least a tokens
-    some are close to the partner's if they are more than floor(d / a); then keys of empty
-    segments are left out, and of what is spare half, the smallest. The partner's choice does
-    no harm: it has all its segments but empty ones and half of what is spare.
+    ``h`` are its sorted distinct token hashes. A differing token spoils one segment, so of the
+    segments with at least a tokens more than floor(d / a) fewer are close to the partner's; so
+    there is no key for an empty segment unless too few are full. Of what is spare beyond that
+    half may be left out: if the partner leaves out half too, a common key remains. The band is
+    in the low bits of a key.
     """
     n = len(h)
     low, high = partner_sizes(n, percent)
     least, most = most_different(n, low, percent), most_different(n, high, percent)
+    out, spare = [np.empty(0, dtype=np.uint64)], {}
     if not most:
-        return np.empty(0, dtype=np.int64)
+        return out[0].view(np.int64), spare
     t = _mix(h + _STEP)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(t)])
-    out = []
     for band in range(band_of(max(least, 1)), band_of(most) + 1):
         a, m = allocation(band, n_sets, percent)
         need = min(most, band_limit(band)) // a + 1
@@ -173,21 +182,26 @@ def index_keys(h: np.ndarray, n_sets: int, percent: int = PERCENT) -> np.ndarray
         at = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
         count = np.diff(at)
         full = int((count >= a).sum())
-        empties = full < need
-        spare = 0 if empties else (full - need) // 2
-        order = np.argsort(count, kind="stable")
-        chosen = np.sort(order[m - full + spare :] if a == 1 and not empties else order)
-        salt = _mix((np.uint64(band + 1) << _S32) + chosen.astype(np.uint64))
-        total, size = sums[at[chosen + 1]] - sums[at[chosen]], count[chosen]
-        mask = slice(None) if empties else size > 0
-        out.append(_mix(total + salt)[mask])
+        some = count > 0 if full >= need else count >= 0
+        if a == 1:
+            spare[band] = max(0, full - need) // 2
+        salt = _mix((np.uint64(band + 1) << _S32) + np.arange(m, dtype=np.uint64))
+        total = sums[at[1:]] - sums[at[:-1]]
+        keys = [_mix(total + salt)[some]]
         if a == 2:
-            rows = np.repeat(np.arange(len(chosen)), size)
-            first = np.repeat(at[chosen] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-            inside = np.arange(size.sum()) + first
-            mask = slice(None) if empties else size[rows] > 1
-            out.append(_mix(total[rows] - t[inside] + salt[rows])[mask])
-    return np.unique(np.concatenate(out)).view(np.int64)
+            row = segment.astype(np.int64)
+            keys.append(_mix(total[row] - t + salt[row])[count[row] > 1 if full >= need else slice(None)])
+        out.append((np.concatenate(keys) & ~_BAND) | np.uint64(min(band, int(_BAND))))
+    return np.unique(np.concatenate(out)).view(np.int64), spare
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """One bit for each of 1,024 ranges: whether an odd number of tokens falls into it.
+
+    A token that two sets do not share changes one bit, so they differ by as many at least.
+    """
+    odd = np.bincount((h >> np.uint64(64 - 10)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def fingerprint(h: np.ndarray) -> bytes:
@@ -195,7 +209,7 @@ def fingerprint(h: np.ndarray) -> bytes:
 
 
 def index(docs: DataFrame, key: str, text: str, n_sets: int, percent: int, k: int) -> DataFrame:
-    """A row per document: key, n_shingles, set (its hash), short (64 bits of it), keys.
+    """A row per document: doc, n, set (a hash of it), short (64 bits of that), sketch, keys, spare.
 
     A task gives the keys of a set only once, so exact copies cost nothing downstream.
     """
@@ -203,61 +217,129 @@ def index(docs: DataFrame, key: str, text: str, n_sets: int, percent: int, k: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, seen = _Words(), set()
         for batch in batches:
-            sizes, sets, short, keys = [], [], [], []
+            rows = []
             for value in batch.column(1).to_pylist():
                 h = tokens(words_of(value), memory, k)
-                mark = fingerprint(h) if len(h) else None
-                sizes.append(len(h))
-                sets.append(mark)
-                short.append(int.from_bytes(mark[:8], signed=True) if mark else None)
-                if mark and mark not in seen:
+                if not len(h):
+                    rows.append((0, None, None, None, None, None))
+                    continue
+                mark, keys, spare = fingerprint(h), None, None
+                if mark not in seen:
                     seen.add(mark)
-                    keys.append(index_keys(h, n_sets, percent))
-                else:
-                    keys.append(None)
+                    keys, spare = index_keys(h, n_sets, percent)
+                    spare = [{"band": band, "may": may} for band, may in spare.items() if may]
+                rows.append((len(h), mark, int.from_bytes(mark[:8], signed=True), sketch(h), keys, spare))
+            kinds = [
+                pa.int64(),
+                pa.binary(),
+                pa.int64(),
+                pa.list_(pa.int64()),
+                pa.list_(pa.int64()),
+                pa.list_(pa.struct([("band", pa.int64()), ("may", pa.int64())])),
+            ]
+            made = [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 6, kinds)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(sets, pa.binary()),
-                    pa.array(short, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())),
-                ],
-                names=["doc", "n", "set", "short", "keys"],
+                [batch.column(0), *made], names=["doc", "n", "set", "short", "sketch", "keys", "spare"]
             )
 
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc"), F.col(f"`{text}`").cast("binary").alias("t"))
-    return chosen.mapInArrow(run, "doc bigint, n bigint, set binary, short bigint, keys array<bigint>")
+    return chosen.mapInArrow(
+        run,
+        "doc bigint, n bigint, set binary, short bigint, sketch array<bigint>, keys array<bigint>, "
+        "spare array<struct<band: bigint, may: bigint>>",
+    )
 
 
 def lists(rows: DataFrame) -> DataFrame:
-    """(key, short, head) of the keys that several sets share; head is the least of them."""
+    """(key, short) of the keys that several sets share, less those that a set may do without.
+
+    Each set leaves out the longest of its lists. Those of passages that many documents share are
+    long, and few of a set's segments consist of one only.
+    """
     entries = rows.where("keys is not null").select(F.explode("keys").alias("key"), "short")
     every = W.partitionBy("key")
     shared = entries.select(
-        "key", "short", F.min("short").over(every).alias("head"), F.max("short").over(every).alias("last")
+        "key",
+        "short",
+        F.min("short").over(every).alias("one"),
+        F.max("short").over(every).alias("other"),
+        F.count("*").over(every).alias("size"),
     )
-    return shared.where("head != last").select("key", "short", "head").distinct()
+    shared = shared.where("one != other").select("key", "short", "size").distinct()
+    may = rows.where("spare is not null").select("short", F.explode("spare").alias("s"))
+    may = may.select("short", F.col("s.band").alias("band"), F.col("s.may").alias("may")).distinct()
+    place = F.row_number().over(W.partitionBy("short", "band").orderBy(F.desc("size"), "key"))
+    return (
+        shared.withColumn("band", F.col("key").bitwiseAND(63))
+        .join(may, ["short", "band"], "left")
+        .withColumn("place", place)
+        .where("may is null or place > may")
+        .select("key", "short")
+    )
+
 
+def nearest_heads(entries: DataFrame, seed: int) -> DataFrame:
+    """For each set (y, in component cy): the head (x, in cx), of another one, of most of its lists.
 
-def _within(df: DataFrame, column: str, ids: DataFrame, few: bool) -> DataFrame:
-    return df.join(F.broadcast(ids) if few else ids, column)
+    ``entries`` are (key, short, component). A list's head is its least set by a seeded hash, so
+    the lists of one group have few heads, other ones in every round.
+    """
+    head = F.min(F.struct(F.xxhash64("short", F.lit(seed)).alias("h"), "short", "component")).over(W.partitionBy("key"))
+    met = entries.withColumn("head", head).where("component != head.component")
+    counts = met.groupBy("short", "component", "head").agg(F.count("*").alias("n"))
+    best = counts.groupBy("short", "component").agg(F.max(F.struct("n", "head")).alias("best"))
+    return best.select(
+        F.col("best.head.short").alias("x"),
+        F.col("short").alias("y"),
+        F.col("best.head.component").alias("cx"),
+        F.col("component").alias("cy"),
+    )
+
+
+def still_open(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """``entries`` with linked components merged, less the lists that lie within one component.
+
+    Each component hangs on the least of those it is linked to, and on what that hangs on. What
+    is merged is connected; links that this leaves out are found again when components are built.
+    """
+    up = links.where("cx != cy").groupBy(F.greatest("cx", "cy").alias("c")).agg(F.min(F.least("cx", "cy")).alias("to"))
+    up = keep(up, "jaccard-merges")
+    top = up.select(F.col("c").alias("to"), F.col("to").alias("top"))
+    few = up.count() <= IDS_BROADCAST
+    up = up.join(F.broadcast(top) if few else top, "to", "left").select("c", F.coalesce("top", "to").alias("to"))
+    at = entries.join(F.broadcast(up) if few else up, F.col("component") == F.col("c"), "left")
+    at = at.select("key", "short", F.coalesce("to", "component").alias("component"))
+    every = W.partitionBy("key")
+    at = at.select("*", F.min("component").over(every).alias("one"), F.max("component").over(every).alias("other"))
+    return keep(at.where("one != other").select("key", "short", "component"), "jaccard-open")
+
+
+def _named(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
+    """Pairs of short hashes (x, y) with the set hashes (a, b)."""
+    for side, name in (("x", "a"), ("y", "b")):
+        one = sets.select(F.col("short").alias(side), F.col("set").alias(name))
+        pairs = one.join(F.broadcast(pairs) if few else pairs, side)
+    return pairs
 
 
 def verify(
     docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text: str, percent: int, k: int
 ) -> DataFrame:
-    """The pairs (a, b of set hashes) whose texts are similar; shingles are compared as words."""
-    pairs = keep(pairs.select("a", "b").distinct(), "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(sets, "set")
-    # A set without any id is found by its text alone.
-    wanted = keep(wanted.select("set", F.col("rep").alias("doc")), "jaccard-wanted")
-    few = wanted.count() <= IDS_BROADCAST
-    ids = F.broadcast(wanted) if few else wanted
+    """The pairs (x, y, cx, cy) of similar sets, with their set hashes (a, b).
+
+    The shingles of the texts are compared as words.
+    """
+    pairs = keep(pairs, "jaccard-pairs")
+    few = pairs.count() <= IDS_BROADCAST
+    pairs = keep(_named(pairs, sets, few), "jaccard-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    found = sets.select("set", F.col("rep").alias("doc"))
+    wanted = keep(found.join(F.broadcast(wanted) if few else wanted, "set"), "jaccard-wanted")
     named = docs.select(
         F.col(f"`{key}`").cast("bigint").alias("d"), F.col(f"`{text}`").cast("binary").alias("t")
     )
+    ids = F.broadcast(wanted) if few else wanted
     texts = named.join(ids, F.col("d").eqNullSafe(F.col("doc"))).select("set", "t")
 
     def same() -> Callable[..., tuple]:
@@ -284,15 +366,27 @@ def verify(
         return work
 
     judged = add_columns(both, [F.col("a"), F.col("text_a"), F.col("text_b")], similar, "linked boolean")
-    return keep(judged.where("linked").select("a", "b"), "jaccard-links")
-
-
-def _named(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of short hashes as pairs of set hashes whose sizes allow a link."""
-    one = sets.select(F.col("short").alias("x"), F.col("set").alias("a"), F.col("n").alias("n_a"))
-    two = sets.select(F.col("short").alias("y"), F.col("set").alias("b"), F.col("n").alias("n_b"))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return pairs.join(one, "x").join(two, "y").where(fits).select("a", "b")
+    return keep(judged.where("linked").select("x", "y", "cx", "cy", "a", "b"), "jaccard-links")
+
+
+def _crossing(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x, y) of a list whose components differ and whose sketches allow a link."""
+    known = sets.select("short", "n", "sketch")
+    one = entries.join(known, "short").select("key", F.col("short").alias("x"), "component", "n", "sketch")
+    two = one.select(
+        "key",
+        F.col("x").alias("y"),
+        F.col("component").alias("component_2"),
+        F.col("n").alias("n_2"),
+        F.col("sketch").alias("sketch_2"),
+    )
+    most = F.floor((100 - percent) * (F.col("n") + F.col("n_2")) / (100 + percent))
+    bits = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_2")[i])) for i in range(SKETCH_WORDS)]
+    differ = reduce(add, bits)
+    fits = (F.col("x") < F.col("y")) & (F.col("component") != F.col("component_2"))
+    fits &= 100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")
+    met = one.join(two, (one["key"] == two["key"]) & fits & (differ <= most))
+    return met.select("x", "y", F.col("component").alias("cx"), F.col("component_2").alias("cy")).distinct()
 
 
 def classes(
@@ -309,40 +403,29 @@ def classes(
     sets = keep(
         rows.where("set is not null")
         .groupBy("set")
-        .agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("short").alias("short")),
+        .agg(*[F.min(c).alias(a) for c, a in (("doc", "rep"), ("n", "n"), ("short", "short"), ("sketch", "sketch"))]),
         "jaccard-sets",
     )
-    shared = keep(lists(rows), "jaccard-lists")
-    first = shared.where("short != head").groupBy(F.col("short").alias("y")).agg(F.min("head").alias("x"))
-    first = keep(first, "jaccard-first")
-    links = verify(docs, sets, _named(first, sets, percent), key, text, percent, k)
-    found = components(links)
-
-    # Lists that still hold several components: all their pairs across components.
-    short = sets.join(found.withColumnRenamed("node", "set"), "set").select("short", "component")
-    entries = shared.join(short, "short", "left").select(
-        "key", "short", F.coalesce("component", F.col("short").cast("string").cast("binary")).alias("component")
-    )
-    every = W.partitionBy("key")
-    open_ = entries.select(
-        "*", F.min("component").over(every).alias("c1"), F.max("component").over(every).alias("c2")
-    ).where("c1 != c2")
-    open_ = keep(open_.select("key", "short", "component"), "jaccard-open")
-    other = open_.select("key", F.col("short").alias("y"), F.col("component").alias("other"))
-    cross = open_.withColumnRenamed("short", "x").join(other, "key").where("x < y and component != other")
-    tried = first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    cross = cross.select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
-    more = verify(docs, sets, _named(cross, sets, percent), key, text, percent, k)
-    found = components(links.unionAll(more))
-
-    label = F.coalesce("component", F.col("set"))
+    entries = keep(lists(rows), "jaccard-lists").withColumn("component", F.col("short"))
+    links = []
+    for step in range(ROUNDS):
+        # Rounds against heads join most of what is similar; then all that is still apart is tried.
+        links.append(verify(docs, sets, nearest_heads(entries, step), key, text, percent, k))
+        entries = still_open(entries, links[-1])
+    links.append(verify(docs, sets, _crossing(entries, sets, percent), key, text, percent, k))
+    pairs = [one.select(F.col("x").alias("a"), F.col("y").alias("b")) for one in links]
+    found = keep(components(reduce(DataFrame.unionAll, pairs)), "jaccard-components")
+    few = found.count() <= IDS_BROADCAST
+    found = found.withColumnRenamed("node", "short")
     known = keep(
-        sets.join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "rep", label.alias("label")),
+        sets.join(F.broadcast(found) if few else found, "short", "left").select(
+            "set", "rep", F.coalesce("component", "short").alias("label")
+        ),
         "jaccard-labels",
     )
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = known.join(least, "label").select("set", "component_id")
-    few = sets.count() <= IDS_BROADCAST
+    few = sets.count() <= SETS_BROADCAST
     out = rows.select("doc", "n", "set").join(F.broadcast(known) if few else known, "set", "left")
     return out.select(
         F.col("doc").alias(key),

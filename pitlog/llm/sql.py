@@ -104,7 +104,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
          ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31)
          + 1 AS INT), 1)), '') AS payload_digest,
        CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
+       CAST(CASE WHEN page_id <> response THEN response END AS DOUBLE) AS refers_to
 FROM p JOIN best USING (h)
 """
 
