@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from pitlog.llm.common import add_columns, keep, small_batches
+from pitlog.llm.common import add_columns, free_name, keep, small_batches
 from pitlog.llm.components import components
 
 SHINGLE = 5
@@ -439,14 +439,28 @@ def one_of_each(
 ) -> DataFrame:
     """``docs`` with one row left of each component: the one with its id.
 
-    If the id stands for several rows, copies of one text are one row and different texts stay.
-    Texts without words stay; so do rows without an id.
+    Repeated rows with one id and text are one row. An id that stands for several texts stays if
+    it is that of one's component. Texts without words stay; so do rows without an id.
     """
-    kept = classes(docs, key, text, percent, k).where(
-        F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))
+    found = classes(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, percent, k)
+    ids = (
+        found.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("id"))
+        .agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+        .where("not stays or n > 1")
     )
-    gone = keep(kept.select(F.col(key).alias("gone")).distinct(), "jaccard-gone")
-    few = gone.count() <= IDS_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, docs[key] == F.col("gone"), "left_anti")
-
-
+    ids = keep(ids, "jaccard-ids")
+    name = free_name(docs, "id")
+
+    def listed(which: str) -> DataFrame:
+        some = ids.where(which).select(F.col("id").alias(name))
+        return F.broadcast(some) if some.count() <= IDS_BROADCAST else some
+
+    match = docs[key] == F.col(name)
+    left = docs.join(listed("not stays"), match, "left_anti")
+    if ids.where("stays and n > 1").isEmpty():
+        return left
+    # Only rows of repeated ids are brought together to drop repeated texts.
+    again = listed("stays and n > 1")
+    once = left.join(again, match, "left_semi").dropDuplicates([key, text])
+    return left.join(again, match, "left_anti").unionByName(once)
