@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlog.llm.common import free_name
+from pitlog.llm.common import bounded_sample, free_name
 
 # What the query's rules say, as (verdict, host and path).
 RULES = (
@@ -186,7 +186,7 @@ def learn(urls: DataFrame, rows: int = TRAINING_ROWS, rounds: int = ROUNDS, dept
         .agg(((F.sum("blocked") + PRIOR_WEIGHT * share) / (F.count("*") + PRIOR_WEIGHT)).alias("share"))
     )
     model = UrlModel(share, suffixes)
-    sample = named.orderBy(F.xxhash64("url"), "url").limit(rows)
+    sample = bounded_sample(named, "url", rows)
     sample = sample.select("*", *[c.alias(n) for n, c in features(F.col("url"), F.col("host"), F.col("path")).items()])
     sample = VectorAssembler(inputCols=model.inputs, outputCol="inputs").transform(model.add_suffix_shares(sample))
     trees = GBTClassifier(
