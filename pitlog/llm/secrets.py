@@ -39,6 +39,7 @@ LEAST_ACCESS = 20
 LEAST_HEX = 24
 LEAST_ENCODED = 32
 DEEPEST = 8
+LONGEST_DIGEST = 64
 
 _ASSIGN = re.compile(
     r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
@@ -49,10 +50,12 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{LEAST_HEX},}}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)(?![A-Za-z0-9_-])")
 _PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
-# Encoded runs start with what the structures start with: 0x30 0x80+ (DER), a four-byte length
-# under 256 (SSH fields) or the OpenSSH name, in base64 or hex.
-_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:M[I-P]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{{{LEAST_ENCODED},}}={{0,2}}")
-_HEXED = re.compile(rf"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]|000000)[0-9A-Fa-f]{{{2 * LEAST_ENCODED},}}")
+# Encoded runs start with what the structures start with: 0x30 and any length byte (DER), a
+# four-byte length under 256 (SSH fields) or the OpenSSH name, in base64 or hex.
+_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{{{LEAST_ENCODED},}}={{0,2}}")
+_HEXED = re.compile(
+    rf"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]|000000|6[Ff]70656[Ee]7373682[Dd]6[Bb])[0-9A-Fa-f]{{{2 * LEAST_ENCODED},}}"
+)
 
 _OPENSSH = b"openssh-key-v1\0"
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
@@ -115,8 +118,12 @@ def is_private_der(data: bytes) -> bool:
     fields = elements(top[0][1]) or []
     tags = [tag for tag, _ in fields]
     if tags[:1] != [0x02] or len(fields[0][1]) != 1:
-        # An encrypted PKCS #8 key is an algorithm and its bytes.
-        return tags == [0x30, 0x04] and (elements(fields[0][1]) or [(0, b"")])[0][0] == 0x06
+        # An encrypted PKCS #8 key is an algorithm and its bytes; so is the digest inside a
+        # signature, but that algorithm has no parameters and the bytes are few.
+        if tags != [0x30, 0x04]:
+            return False
+        method = [tag for tag, _ in elements(fields[0][1]) or []]
+        return method[:1] == [0x06] and (method[1:2] == [0x30] or len(fields[1][1]) > LONGEST_DIGEST)
     numbers = len(tags) >= 9 and set(tags[:9]) == {0x02}
     pkcs8 = tags[1:3] == [0x30, 0x04] and (elements(fields[1][1]) or [(0, b"")])[0][0] == 0x06
     curve = tags[1:2] == [0x04] and fields[0][1] == b"\x01"

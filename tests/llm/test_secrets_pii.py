@@ -85,6 +85,33 @@ def test_structures_are_confirmed_and_noise_is_not():
     assert not secrets.is_private_der(deep)
 
 
+def short_keys():
+    """PKCS #8 Ed25519 and SEC1 P-256: DER of less than 128 bytes, so with lengths of one byte."""
+    r = random.Random(5)
+    ed25519 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, r.randbytes(32))))
+    curve = der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107")))
+    public = der(0xA1, der(3, b"\0\4" + r.randbytes(64)))
+    p256 = der(0x30, der(2, b"\1") + der(4, r.randbytes(32)) + curve + public)
+    assert (len(ed25519), len(p256)) == (48, 121)
+    return ed25519, p256
+
+
+def test_keys_in_short_length_form_and_openssh_in_hex_are_confirmed():
+    for key in short_keys():
+        for run in (base64.b64encode(key).decode(), key.hex(), key.hex().upper()):
+            assert secrets.confirmed_spans(f"k={run}.") == [("der", 2, 2 + len(run))], run
+        for run in (base64.b64encode(key[:-1]).decode(), key[:-1].hex()):
+            assert secrets.confirmed_spans(run) == [], run
+    ssh = b"openssh-key-v1\0" + bytes(range(120))
+    for run in (ssh.hex(), ssh.hex().upper(), base64.b64encode(ssh).decode()):
+        assert secrets.confirmed_spans(f"k={run}.") == [("ssh", 2, 2 + len(run))], run
+    # The digest inside a signature is laid out like an encrypted key.
+    sha256 = der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b""))
+    digest = der(0x30, sha256 + der(4, bytes(range(32))))
+    for run in (base64.b64encode(digest).decode(), digest.hex()):
+        assert secrets.confirmed_spans(run) == [], run
+
+
 def test_digests_and_edges(spark):
     docs = spark.createDataFrame(
         [(1, "é token = \"abcdef12\""), (1, "é token = \"abcdef12\""), (2, None), (3, ""), (None, "mail a@b.co now")],
