@@ -5,13 +5,14 @@ hex runs. The method adds encoded credentials that no pattern can tell from nois
 base64 or hex are decoded, and reported only if the bytes have the structure of a key:
 
 - ``jwt``: three base64url parts of which the first is a JSON object with an ``alg`` text and
-  the second a JSON object;
+  the second a JSON object; the third, a signature, may be empty;
 - ``der``: a DER sequence whose nested lengths fill it exactly and that starts like a private
   key (version, then integers or an algorithm with its key), in base64, hex or a PEM block;
 - ``ssh``: an OpenSSH private key, or length-prefixed fields starting with a key type that fill
   the bytes exactly.
 
-A candidate that does not parse is not reported. Reported spans may lie inside base spans;
+Base64 may go over several lines, and line breaks may be escaped, inside a PEM block or without
+one. A candidate that does not parse is not reported. Reported spans may lie inside base spans;
 those stay as they are. Null and empty texts have no spans; repeated rows are scanned each;
 long texts are scanned whole, in time linear in their length.
 """
@@ -48,13 +49,35 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")  # what
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # A run of the class that a plain + would find is whole, so short ones can be left out here.
 _HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{LEAST_HEX},}}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----")
+# Line breaks may be escaped, as in JSON and .env files, once or several times. What follows one
+# starts a run although its last character is a letter.
+_ESCAPED = r"\\++(?:[nrt]|u000[9aAdD])"
+_BREAK = rf"[ \t]*+(?:[\r\n]|{_ESCAPED})(?:\s|{_ESCAPED})*+"
+# The parts of a token are JSON in base64url; the shortest header is {"alg":""}.
+_JWT = re.compile(
+    r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt])|(?<=\\u000[9aAdD]))"
+    r"(?=([A-Za-z0-9_-]{14,}+)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))"
+)
+_PEM = re.compile(
+    rf"-----BEGIN ([A-Z ]{{0,40}}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|{_ESCAPED})++)-----END \1-----"
+)
 # Encoded runs start with what the structures start with: 0x30 and any length byte (DER), a
 # four-byte length under 256 (SSH fields) or the OpenSSH name, in base64 or hex.
-_BASE64 = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:M[A-P]|AAAA|b3BlbnNzaC1r)[A-Za-z0-9+/_-]{{{LEAST_ENCODED},}}={{0,2}}")
+# The first character stands in front of the look behind it, as that is faster.
+_START64 = (
+    r"[MAb](?:(?<![A-Za-z0-9+/_-].)|(?<=\\[nrt].)|(?<=\\u000[9aAdD].))"
+    r"(?:(?<=M)[A-P]|(?<=A)AAA|(?<=b)3BlbnNzaC1r)"
+)
+_BASE64 = re.compile(rf"{_START64}[A-Za-z0-9+/_-]{{{LEAST_ENCODED},}}={{0,2}}")
+# The first of several lines, how the next ones go on, and padding.
+_FIRST = re.compile(rf"{_START64}[A-Za-z0-9+/_-]*+(?={_BREAK}[A-Za-z0-9+/_-])")
+_NEXT = re.compile(rf"{_BREAK}([A-Za-z0-9+/_-]++)")
+_PADDING = re.compile(rf"(?:(?:{_BREAK})?=){{0,2}}")
+_BROKEN = re.compile(rf"\s|{_ESCAPED}")
 _HEXED = re.compile(
-    rf"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]|000000|6[Ff]70656[Ee]7373682[Dd]6[Bb])[0-9A-Fa-f]{{{2 * LEAST_ENCODED},}}"
+    r"[306](?:(?<![0-9A-Fa-f].)|(?<=\\u000[9aAdD].))"
+    r"(?:(?<=3)0[0-9A-Fa-f]|(?<=0)00000|(?<=6)[Ff]70656[Ee]7373682[Dd]6[Bb])"
+    rf"[0-9A-Fa-f]{{{2 * LEAST_ENCODED},}}"
 )
 
 _OPENSSH = b"openssh-key-v1\0"
@@ -144,6 +167,32 @@ def is_ssh(data: bytes) -> bool:
     return at == len(data) and len(fields) >= 2 and fields[0].startswith(_SSH_TYPES)
 
 
+def _der_end(data: bytes) -> int:
+    """Where the sequence that ``data`` begins with ends by its length; 0 if it cannot be a key."""
+    width = data[1] & 0x7F if len(data) > 1 and data[1] & 0x80 else 0
+    # What follows is a version or an algorithm.
+    if data[:1] != b"\x30" or width > 4 or data[2 + width : 3 + width] not in (b"\x02", b"\x30"):
+        return 0
+    return 2 + width + (int.from_bytes(data[2 : 2 + width]) if width else data[1])
+
+
+def _ssh_ends(data: bytes) -> list[int]:
+    """Where the fields that ``data`` begins with may end."""
+    after = lambda at: at + 4 + int.from_bytes(data[at : at + 4])
+    if data.startswith(_OPENSSH):
+        # A cipher, a derivation with options, the count of public keys, these, the private ones.
+        at = after(after(after(len(_OPENSSH))))
+        left, at = int.from_bytes(data[at : at + 4]) + 1, at + 4
+        while left and at < len(data):
+            left, at = left - 1, after(at)
+        return [] if left else [at]
+    at, out = 0, []
+    while at + 4 <= len(data) and after(at) <= len(data):
+        at = after(at)
+        out.append(at)
+    return out[1:]
+
+
 def _structure(data: bytes | None) -> str | None:
     if data is None:
         return None
@@ -164,14 +213,19 @@ def base_spans(text: str) -> list[Span]:
 def confirmed_spans(text: str) -> list[Span]:
     """Spans whose decoded bytes have the structure of a credential."""
     out: list[Span] = []
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in _JWT.finditer(text) if is_token(m[1], m[2])]
+    done = 0
+    for m in _JWT.finditer(text):
+        if m.start() >= done and is_token(m[1], m[2]):
+            done = m.end(3)
+            out.append(("jwt", m.start(), done))
     pem: list[Span] = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            kind = _structure(_bytes("".join(m[2].split())))
+            kind = _structure(_bytes(_BROKEN.sub("", m[2])))
             if kind:
                 pem.append((kind, *m.span()))
+    inside = [(start, end) for _, start, end in pem]
+    pem += [s for s in wrapped_spans(text) if not any(a <= s[1] and s[2] <= b for a, b in inside)]
     out += pem
     inside = [(start, end) for _, start, end in pem]
     for pattern, decode in ((_BASE64, _bytes), (_HEXED, _unhex)):
@@ -182,6 +236,46 @@ def confirmed_spans(text: str) -> list[Span]:
     return out
 
 
+def wrapped_spans(text: str) -> list[Span]:
+    """Spans of structures in base64 over several lines without a header.
+
+    What follows the last line may look like one more, so the structure's own lengths say where
+    it ends, which must be the end of a line.
+    """
+    out: list[Span] = []
+    done, begins = 0, {}
+    for m in _FIRST.finditer(text):
+        if m.start() < done:
+            continue
+        if m.start() not in begins:
+            # The lines that belong together, where each begins in them joined, and where each ends.
+            at, begins, stops, parts = m.end(), {m.start(): 0}, {len(m[0]): m.end()}, [m[0]]
+            size = len(m[0])
+            while following := _NEXT.match(text, at):
+                at = following.end()
+                begins[following.start(1)] = size
+                size += len(following[1])
+                stops[size] = at
+                parts.append(following[1])
+            joined = "".join(parts)
+        first = begins[m.start()]
+        whole = (size - first) // 4 * 4
+        head = _bytes(joined[first : first + min(whole, 40)])
+        if head.startswith(_OPENSSH) or head[4:].startswith(_SSH_TYPES):
+            ends = _ssh_ends(_bytes(joined[first : size - ((size - first) % 4 == 1)]))
+        else:
+            ends = [_der_end(head)]
+        for end in reversed(ends):
+            last = first + end // 3 * 4 + (0, 2, 3)[end % 3]
+            if stops.get(last, 0) > m.end():
+                kind = _structure(_bytes(joined[first:last]))
+                if kind:
+                    done = _PADDING.match(text, stops[last]).end()
+                    out.append((kind, m.start(), done))
+                    break
+    return out
+
+
 def _unhex(run: str) -> bytes | None:
     return bytes.fromhex(run) if len(run) % 2 == 0 else None
 

@@ -112,6 +112,43 @@ def test_keys_in_short_length_form_and_openssh_in_hex_are_confirmed():
         assert secrets.confirmed_spans(run) == [], run
 
 
+def wrapped_runs():
+    """(text, kind, start, end) of keys and tokens that are broken over lines or begin with white space."""
+    r = random.Random(6)
+    field = lambda b: len(b).to_bytes(4) + b
+    name = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4)
+    ssh = name + field(r.randbytes(51)) + field(r.randbytes(136))
+    public = field(b"ssh-ed25519") + field(r.randbytes(32))
+    for breaks in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n", "\\u000a"):
+        for key, kind in ((rsa(), "der"), (short_keys()[0], "der"), (short_keys()[1], "der"), (ssh, "ssh"), (public, "ssh")):
+            run = base64.b64encode(key).decode()
+            for width in (20, 64, 100):
+                body = breaks.join(run[i : i + width] for i in range(0, len(run), width))
+                pem = f"-----BEGIN PRIVATE KEY-----{breaks}{body}{breaks}-----END PRIVATE KEY-----"
+                yield f'"key": "{pem}{breaks}"', kind, 8, 8 + len(pem)
+                for before, after in (("k=", "."), (f"see{breaks}", f"{breaks}word{breaks}next"), (f"MAIN{breaks}", "")):
+                    if width < len(run) or breaks != "\n":
+                        yield before + body + after, kind, len(before), len(before) + len(body)
+    part = lambda v: base64.urlsafe_b64encode(v.encode()).decode().rstrip("=")
+    for space in ("", " ", "\n", "\r\n  ", "\t"):
+        token = f"{part(space + json.dumps({'alg': 'HS256'}))}.{part(space + json.dumps({'sub': '1'}))}."
+        for before in ("t=", "x\\n", "a-long-host-name.", "a-long-host-name.b."):
+            for signature in ("", "c2lnbmF0dXJl"):
+                run = token + signature
+                yield f"{before}{run} y", "jwt", len(before), len(before) + len(run)
+
+
+def test_broken_lines_are_joined_and_tokens_may_begin_with_white_space():
+    for text, kind, start, end in wrapped_runs():
+        assert secrets.confirmed_spans(text) == [(kind, start, end)], repr(text)
+    # Two keys in one block of lines, and lines that only look like one.
+    run = base64.b64encode(rsa()).decode().rstrip("=")
+    body = "\n".join(run[i : i + 64] for i in range(0, len(run), 64))
+    assert secrets.confirmed_spans(f"{body}\n{body}") == [("der", 0, len(body)), ("der", len(body) + 1, 2 * len(body) + 1)]
+    for noise in (body[:-4], body[:100] + "/" + body[100:], "MAIN\nMIND\n" * 50, ("A" * 76 + "\n") * 50):
+        assert secrets.confirmed_spans(noise) == [], noise
+
+
 def test_digests_and_edges(spark):
     docs = spark.createDataFrame(
         [(1, "é token = \"abcdef12\""), (1, "é token = \"abcdef12\""), (2, None), (3, ""), (None, "mail a@b.co now")],
