@@ -15,13 +15,17 @@ def sample(
     labels: DataFrame,
     label: Column,
     key: str = "doc_id",
+    text: str = "text",
     rows: int = SAMPLE_ROWS,
     share: Column | None = None,
 ) -> DataFrame:
-    """At most ``rows`` distinct labelled keys, with their rows of ``docs`` and a column ``label``.
+    """At most ``rows`` labelled documents: labelled_key, label and the key's ``text``.
 
     Keys without a label or with labels that contradict each other are left out. Which keys are
-    taken depends on their hash alone. The sample is bounded, so it may be broadcast.
+    taken depends on their hash alone. A key that several rows have gives one of their texts, the
+    least by its hash, null only if it has no other; as an aggregate that is found before the
+    shuffle. So repeated rows neither weigh more nor break the bound. The picked keys are
+    bounded, so they may be broadcast.
     """
     clear = (
         labels.select(F.col(key).alias("labelled_key"), label.cast("int").alias("label"))
@@ -32,4 +36,8 @@ def sample(
         .select("labelled_key", "label")
     )
     picked = bounded_sample(clear, "labelled_key", rows)
-    return docs.join(F.broadcast(picked), docs[key] == picked["labelled_key"])
+    found = docs.select(F.col(f"`{key}`").alias("found_key"), F.col(f"`{text}`").alias("found"))
+    found = found.join(F.broadcast(picked), F.col("found_key") == F.col("labelled_key"))
+    order = F.struct(F.col("found").isNull().alias("none"), F.xxhash64("found").alias("h"), "found")
+    one = found.groupBy("labelled_key", "label").agg(F.min(order).alias("least"))
+    return one.select("labelled_key", "label", F.col("least.found").alias(text))

@@ -235,9 +235,7 @@ def learn(
     rows: int = labelled.SAMPLE_ROWS,
 ) -> DecisionList:
     """A decision list from at most ``rows`` labelled documents; label 0 is bad."""
-    picked = labelled.sample(
-        docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), labels, F.col(label), key, rows
-    )
+    picked = labelled.sample(docs, labels, F.col(label), key, text, rows)
     at = with_statistics(picked, text, "stats").where(~base_failed(F.col("stats")))
     found = at.select(
         F.col("labelled_key"), F.col("label"), *[ratio(F.col("stats"), n).alias(n) for n in RATIOS]

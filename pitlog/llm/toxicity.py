@@ -170,9 +170,7 @@ def learn(
     that reaches the driver has only chosen features.
     """
     names = _categories(label, seeds)
-    picked = labelled.sample(
-        docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text)), labels, F.col(label), key, rows
-    )
+    picked = labelled.sample(docs, labels, F.col(label), key, text, rows)
 
     def start() -> Callable[..., tuple]:
         seed = {n: {w.encode() for w in seeds.get(n, ())} for n in names[:-1]}

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from pitlog.llm import labelled
 from pitlog.llm import quality_rules as Q
 from pitlog.llm import toxicity as X
 
@@ -64,6 +65,25 @@ def corpus(spark, n=240):
     return docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_sample_has_one_text_of_each_labelled_key(spark):
+    rows = [(i, f"text {i}") for i in range(200)] + [(7, f"other {i}") for i in range(100)] + [(7, "same")] * 300
+    rows += [(8, None)] * 20 + [(500, None), (None, "no id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(500, 1)], "doc_id long, toxic int")
+    pick = lambda d, n: sorted(map(tuple, labelled.sample(d, labels, F.col("toxic"), rows=n).collect()))
+    got = pick(docs, 1000)
+    assert [(k, y) for k, y, _ in got] == [*[(i, i % 2) for i in range(200)], (500, 1)]
+    assert all(t == f"text {k}" for k, _, t in got if k not in (7, 500)) and got[-1][2] is None
+    assert (7, got[7][2]) in rows
+    assert pick(docs.repartition(5, "text"), 1000) == got
+    few = pick(docs, 50)
+    assert len(few) == 50 and set(few) <= set(got)
+    # The model of a corpus does not change when one document is repeated.
+    docs, labels_2 = corpus(spark)
+    again = docs.unionAll(docs.where("doc_id = 3").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(150)))).drop("n"))
+    assert Q.learn(again, labels_2) == Q.learn(docs, labels_2)
+
+
 def test_rules_are_learned_from_labels_and_applied(spark):
     docs, labels = corpus(spark)
     rules = Q.learn(docs, labels)
