@@ -6,7 +6,7 @@ probabilities come from models that have not seen the row (out of fold), so it d
 trust them more than they deserve; when scoring, they come from the models themselves.
 
 Features are words and their beginnings. Models are fitted on a bounded sample of labelled rows,
-given by a parameter, on the features that tell the classes apart in it. Scoring runs over all documents and whole texts.
+given by a parameter, on all features that tell the classes apart in it. Scoring runs over all documents and whole texts.
 
 A null or empty text has no words; its probabilities are those of the intercepts, and it is not
 toxic. Repeated rows are scored each. Without labels of both classes a category's probability
@@ -38,7 +38,7 @@ FOLDS = 4
 SAMPLE_ROWS = 8_000
 PREFIXES = range(4, 10)  # code points
 PENALTY = 1.0
-MOST_FEATURES = 250
+MOST_STEPS = 1_000
 REMEMBERED = 300_000
 LEAST_Z = 4.0
 LEAST_DOCUMENTS = 5
@@ -119,7 +119,26 @@ def telling(counts: dict[str, tuple[float, float]], rows: float, positive: float
             z = (yes - k * p) / math.sqrt(k * (1 - k / rows) * p * (1 - p))
             if abs(z) >= LEAST_Z:
                 scored.append((-abs(z), name))
-    return [name for _, name in sorted(scored)[:MOST_FEATURES]]
+    return [name for _, name in sorted(scored)]
+
+
+def solve(times: Callable[[np.ndarray], np.ndarray], target: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Conjugate gradients for a positive definite matrix that is given by its products."""
+    x, left = np.zeros(len(target)), target.copy()
+    z = left / diagonal
+    way, now = z.copy(), float(left @ z)
+    least = 1e-6 * now  # Newton steps need no more
+    for _ in range(MOST_STEPS):
+        if now <= least:
+            break
+        ahead = times(way)
+        length = now / float(way @ ahead)
+        x += length * way
+        left -= length * ahead
+        z = left / diagonal
+        now, last = float(left @ z), now
+        way = z + now / last * way
+    return x
 
 
 def fit_link(name: str, chosen: list[str], rows: list[set[str]], before: np.ndarray, y: np.ndarray) -> Link:
@@ -128,23 +147,48 @@ def fit_link(name: str, chosen: list[str], rows: list[set[str]], before: np.ndar
     if not len(y) or y.min() == y.max():
         share = min(max(float(y.mean()) if len(y) else 0.0, 1e-6), 1 - 1e-6)
         return Link(name, math.log(share / (1 - share)), {}, (0.0,) * width)
-    index = {w: i for i, w in enumerate(chosen, 1 + width)}
-    x = np.zeros((len(rows), 1 + width + len(chosen)))
-    x[:, 0], x[:, 1 : 1 + width] = 1.0, before
+    # Features of the same rows get equal weights, so they are one column with a share of the penalty.
+    places: dict[str, list[int]] = {f: [] for f in chosen}
     for r, present in enumerate(rows):
-        x[r, [index[f] for f in present if f in index]] = 1.0
-    strength = np.full(x.shape[1], PENALTY)
+        for f in present:
+            if f in places:
+                places[f].append(r)
+    groups: dict[tuple[int, ...], list[str]] = {}
+    for f, found in places.items():
+        groups.setdefault(tuple(found), []).append(f)
+    index = {f: i for i, group in enumerate(groups.values(), 1 + width) for f in group}
+    held: list[list[int]] = [[] for _ in rows]
+    for i, group in enumerate(groups, 1 + width):
+        for r in group:
+            held[r].append(i)
+    size = 1 + width + len(groups)
+    # The features are sparse: the rows and columns of their ones.
+    row = np.repeat(np.arange(len(rows)), [len(h) for h in held])
+    col = np.fromiter((i for h in held for i in h), dtype=int, count=len(row))
+    dense = np.column_stack([np.ones(len(rows)), before])
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return dense @ v[: 1 + width] + np.bincount(row, v[col], minlength=len(rows))
+
+    def gathered(u: np.ndarray, own: np.ndarray = dense) -> np.ndarray:
+        out = np.bincount(col, u[row], minlength=size).astype(float)
+        out[: 1 + width] += own.T @ u
+        return out
+
+    strength = np.full(size, PENALTY)
     strength[0] = 1e-6
-    w = np.zeros(x.shape[1])
+    alike = np.array([len(group) for group in groups.values()], dtype=float)
+    strength[1 + width :] /= alike
+    w = np.zeros(size)
     for _ in range(15):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + strength * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(strength)
-        step = np.linalg.solve(bend, slope)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        slope, spread = gathered(p - y) + strength * w, p * (1 - p)
+        bend = lambda v: gathered(spread * times(v)) + strength * v
+        step = solve(bend, slope, gathered(spread, dense**2) + strength)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-3:
             break
-    weights = {f: float(w[i]) for f, i in index.items()}
+    weights = {f: float(w[index[f]] / alike[index[f] - 1 - width]) for f in chosen}
     return Link(name, float(w[0]), weights, tuple(map(float, w[1 : 1 + width])))
 
 
@@ -230,15 +274,16 @@ def learn(
         )
         for held, c in wanted
     }
-    known = {f for chosen in choices.values() for f in chosen}
+    chosen_ones = sorted({f for chosen in choices.values() for f in chosen})
+    known = {f: i for i, f in enumerate(chosen_ones)}
     lean = add_columns(
         at.select("labelled_key", "fold", "marks", "features"),
         [F.col("features")],
-        lambda: lambda present: ([f for f in present if f in known],),
-        "known array<string>",
+        lambda: lambda present: ([known[f] for f in present if f in known],),
+        "known array<int>",
     )
     found = sorted((r.labelled_key, r.fold, r.marks, r.known) for r in lean.drop("features").collect())
-    texts = [set(f) for _, _, _, f in found]
+    texts = [{chosen_ones[i] for i in f} for _, _, _, f in found]
     fold_of = np.array([f for _, f, _, _ in found], dtype=int)
     before, links = np.zeros((len(found), 0)), []
     for c, name in enumerate(names):

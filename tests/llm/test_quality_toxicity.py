@@ -108,3 +108,35 @@ def test_chain_catches_words_and_families(spark):
     none = X.learn(docs, labels.limit(0))
     assert X.score(docs, none).where("toxicity.toxic >= 0.5").count() == 0
     assert X.score(docs.limit(0), chain).count() == 0
+
+
+def test_many_toxic_words_all_get_a_weight(spark):
+    r = random.Random(3)
+    bad = ["".join(r.choice("bcdfghjklm") for _ in range(11)) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(2100):
+        words = ["w%d" % r.randrange(400) for _ in range(10)]
+        if i % 5 == 0:
+            words[r.randrange(10)] = bad[i // 5 % 60]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = X.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert set(bad) <= set(chain.links[-1].weights) and len(chain.links[-1].weights) >= 420
+    found = {i for i in bad if chain.probabilities(X.Recogniser(chain.known())(i.encode()))[-1] >= 0.5}
+    assert found == set(bad)
+
+
+def test_sparse_fit_is_the_dense_one():
+    r = np.random.default_rng(1)
+    chosen = [f"f{i}" for i in range(300)]
+    x = r.random((500, 300)) < 0.03
+    before, y = r.random((500, 1)), (r.random(500) < 0.3).astype(float)
+    link = X.fit_link("toxic", chosen, [{chosen[j] for j in np.flatnonzero(row)} for row in x], before, y)
+    m = np.column_stack([np.ones(500), before, x.astype(float)])
+    w = np.array([link.intercept, *link.earlier, *[link.weights[f] for f in chosen]])
+    strength = np.full(302, X.PENALTY)
+    strength[0] = 1e-6
+    slope = m.T @ (1 / (1 + np.exp(-m @ w)) - y) + strength * w
+    assert np.abs(slope).max() < 1e-2
+    assert X.fit_link("toxic", [], [set()] * 500, before, y).weights == {}
