@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pitlog.llm import (
+    clustering,
     decontaminate,
     jaccard_join,
+    licenses,
     mixing,
     pii,
     quality_rules,
+    resampling,
     secrets,
     token_counts,
     toxicity,
@@ -108,6 +111,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(manifest, payloads=False).select(*names)
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centroids = clustering.cluster(_table(spark, sf_dir, "embeddings"))
+    found = clustering.with_inertia(assigned, centroids)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(_texts(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("licenses")
+    names = ("n_words", "n_base", "first_word", "last_word")
+    return licenses.scan(_texts(spark, sf_dir)).select(
+        "doc_id",
+        *[found[n].alias(n) for n in names],
+        F.concat_ws(",", found["base_labels"]).alias("base_labels"),
+        F.concat_ws(",", found["labels"]).alias("labels"),
+        found["score"].alias("score"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -121,6 +147,9 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_mixing,
         op10_warc,
+        op11_clustering,
+        op12_resampling,
+        op13_licenses,
     )
 } | {"pipeline": corpus_pipeline.run}
 
