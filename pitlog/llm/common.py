@@ -133,6 +133,28 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(mark, key).limit(rows)
 
 
+def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """``df`` with the number 0, 1, 2, ... of each row in the order, as column ``out``.
+
+    Rows are dealt by ranges of the order and sorted where they lie; a row's number is its place
+    there plus the rows of the ranges before, one count a range. Rows that the order does not
+    tell apart land in one range, so it should end in a column that does.
+    """
+    spark, part, place, before = df.sparkSession, *(free_name(df, n) for n in ("part", "place", "before"))
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The id of a sorted row is its partition, which are in order, above its place therein.
+    dealt = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    dealt = keep(dealt.withColumn(place, F.monotonically_increasing_id()), "ranked")
+    dealt = dealt.withColumn(part, F.shiftright(place, 33))
+    upto, starts = 0, []
+    for row in dealt.groupBy(part).count().orderBy(part).collect():  # at most ``width`` rows
+        starts.append((row[0], upto))
+        upto += row[1]
+    starts = F.broadcast(spark.createDataFrame(starts, f"`{part}` bigint, `{before}` bigint"))
+    rank = F.col(before) + F.col(place).bitwiseAND((1 << 33) - 1)
+    return dealt.join(starts, part).select(*[F.col(f"`{c}`") for c in df.columns], rank.alias(out))
+
+
 def small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; counts all of it."""
     return df.count() <= rows

@@ -11,21 +11,22 @@ Sizes fall into bands by d, which grow geometrically; a set joins the (one to th
 its possible partners. Each band's a and m are allocated by cost: keys to index against the
 candidates expected from segments that are empty by chance. There are more segments than the
 pigeonhole needs, so that a set's full ones suffice: it is not indexed under empty segments,
-which many sets have, unless too few are full. What is spare beyond that is halved with the
-partner, and the smallest segments are left out.
+which many sets have, unless too few are full.
 
 What is indexed is one set per class of equal sets, by a 128-bit hash (its first half names it in
-lists and components). Candidates are reduced
-before they are verified. Each set leaves out the longest of its lists, as far as the spare
-allows, which are those of passages that many texts share. In a few rounds each set then meets
-one head of its lists; sets found linked are one component, and lists within one component are
-done. At last every pair of a list whose components differ is tried: if sketches of the two
-sets (parities of token counts) do not rule it out, it is verified. So no link between components
-is lost, while a group of near copies costs a few checks a member and not one a pair.
-Verification compares the shingles of the whole texts themselves.
-
-A text without words (or null) has no shingles and links with nothing. Repeated rows and equal
-texts are one class. A row without an id takes part like others but names no component; a
+lists). Candidates are reduced before they are verified. All sets order keys alike, by the length
+of their lists. Two similar sets share at least one key more than either may do without, and the
+first one that they share has all others behind it; so each set leaves out as many of its last
+keys as it may, which are those of passages that many texts share. In rounds each set then meets
+one head of its lists that its sketch (parities of token counts) allows, at first the member with
+the most company; sets found linked are one component, and lists within one component are done.
+Rounds end when they find little more. At last every pair of a list whose components differ is
+tried, at the first key that both list: if the sketches do not rule it out, it is verified. So no
+link between components is lost, while a group of near copies costs a few checks a member and not
+one a pair. Verification compares the shingles of the whole texts themselves.
+
+A text without words (or null) has no shingles and links with nothing. Very long texts are taken
+whole. Repeated rows and equal texts are one class. A row without an id takes part like others but names no component; a
 component of such rows only has the id null.
 """
 
@@ -40,7 +41,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -53,7 +54,9 @@ BAND_GROWTH = 1.5
 PAIR_COST = 20.0  # of a candidate pair, in index keys
 IDS_BROADCAST = 500_000
 SETS_BROADCAST = 50_000
-ROUNDS = 2
+ROUNDS = 8
+LEAST_PROGRESS = 0.05  # of the open entries that a round has to close for another one
+FIRST_KEYS = 24
 SKETCH_WORDS = 16
 REMEMBERED = 300_000
 
@@ -161,10 +164,10 @@ def index_keys(h: np.ndarray, n_sets: int, percent: int = PERCENT) -> tuple[np.n
     """The keys under which a set may be found, and by band how many of them it may do without.
 
     ``h`` are its sorted distinct token hashes. A differing token spoils one segment, so of the
-    segments with at least a tokens more than floor(d / a) fewer are close to the partner's; so
-    there is no key for an empty segment unless too few are full. Of what is spare beyond that
-    half may be left out: if the partner leaves out half too, a common key remains. The band is
-    in the low bits of a key.
+    segments with at least a tokens all but floor(d / a) are close to the partner's; so there is
+    no key for an empty segment unless too few are full. What is spare beyond one common key may
+    be left out, if both partners leave out their last keys in one order. The band is in the low
+    bits of a key.
     """
     n = len(h)
     low, high = partner_sizes(n, percent)
@@ -184,7 +187,7 @@ def index_keys(h: np.ndarray, n_sets: int, percent: int = PERCENT) -> tuple[np.n
         full = int((count >= a).sum())
         some = count > 0 if full >= need else count >= 0
         if a == 1:
-            spare[band] = max(0, full - need) // 2
+            spare[band] = max(0, full - need)
         salt = _mix((np.uint64(band + 1) << _S32) + np.arange(m, dtype=np.uint64))
         total = sums[at[1:]] - sums[at[:-1]]
         keys = [_mix(total + salt)[some]]
@@ -252,10 +255,11 @@ def index(docs: DataFrame, key: str, text: str, n_sets: int, percent: int, k: in
 
 
 def lists(rows: DataFrame) -> DataFrame:
-    """(key, short) of the keys that several sets share, less those that a set may do without.
+    """(key, short, company) of the keys that several sets share, less those a set may do without.
 
     Each set leaves out the longest of its lists. Those of passages that many documents share are
-    long, and few of a set's segments consist of one only.
+    long, and few of a set's segments consist of one only. ``company`` is the length of all lists
+    of a set together: most for the least changed of a group of near copies.
     """
     entries = rows.where("keys is not null").select(F.explode("keys").alias("key"), "short")
     every = W.partitionBy("key")
@@ -269,32 +273,49 @@ def lists(rows: DataFrame) -> DataFrame:
     shared = shared.where("one != other").select("key", "short", "size").distinct()
     may = rows.where("spare is not null").select("short", F.explode("spare").alias("s"))
     may = may.select("short", F.col("s.band").alias("band"), F.col("s.may").alias("may")).distinct()
+    # One order for all sets: what two of them leave out never holds the first key they share.
     place = F.row_number().over(W.partitionBy("short", "band").orderBy(F.desc("size"), "key"))
+    company = F.sum("size").over(W.partitionBy("short"))
     return (
         shared.withColumn("band", F.col("key").bitwiseAND(63))
         .join(may, ["short", "band"], "left")
-        .withColumn("place", place)
+        .withColumns({"place": place, "company": company})
         .where("may is null or place > may")
-        .select("key", "short")
+        .select("key", "short", "company")
     )
 
 
-def nearest_heads(entries: DataFrame, seed: int) -> DataFrame:
+def _differ(bits: str, other: str) -> Column:
+    """In how many bits two sketches differ: no more than the sets differ in tokens."""
+    return reduce(add, [F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other)[i])) for i in range(SKETCH_WORDS)])
+
+
+def _allowed(percent: int) -> Column:
+    """Whether sizes (n, n_2) and sketches (sketch, sketch_2) leave a link possible."""
+    sizes = 100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")
+    most = F.floor((100 - percent) * (F.col("n") + F.col("n_2")) / (100 + percent))
+    return sizes & (_differ("sketch", "sketch_2") <= most)
+
+
+def nearest_heads(entries: DataFrame, sets: DataFrame, step: int, percent: int) -> DataFrame:
     """For each set (y, in component cy): the head (x, in cx), of another one, of most of its lists.
 
-    ``entries`` are (key, short, component). A list's head is its least set by a seeded hash, so
-    the lists of one group have few heads, other ones in every round.
+    ``entries`` are (key, short, company, component). A list's head is its member with the most
+    company at first, then its least one by a seeded hash, another one in every round. Heads that
+    sketches rule out are no candidates. Heads are grouped and joined back, so that a long list
+    is combined before it is shuffled and its members may lie in several tasks.
     """
-    head = F.min(F.struct(F.xxhash64("short", F.lit(seed)).alias("h"), "short", "component")).over(W.partitionBy("key"))
-    met = entries.withColumn("head", head).where("component != head.component")
-    counts = met.groupBy("short", "component", "head").agg(F.count("*").alias("n"))
-    best = counts.groupBy("short", "component").agg(F.max(F.struct("n", "head")).alias("best"))
-    return best.select(
-        F.col("best.head.short").alias("x"),
-        F.col("short").alias("y"),
-        F.col("best.head.component").alias("cx"),
-        F.col("component").alias("cy"),
-    )
+    rank = F.xxhash64("short", F.lit(step)) if step else -F.col("company")
+    heads = entries.groupBy("key").agg(F.min(F.struct(rank.alias("h"), "short", "component")).alias("head"))
+    met = entries.join(heads, "key").where("component != head.component")
+    counts = met.groupBy("short", "component", "head.short", "head.component").agg(F.count("*").alias("n_keys"))
+    counts = counts.toDF("y", "cy", "x", "cx", "n_keys")
+    if step:
+        one = sets.select(F.col("short").alias("x"), "n", "sketch")
+        two = sets.select(F.col("short").alias("y"), F.col("n").alias("n_2"), F.col("sketch").alias("sketch_2"))
+        counts = counts.join(one, "x").join(two, "y").where(_allowed(percent))
+    best = counts.groupBy("y", "cy").agg(F.max(F.struct("n_keys", "x", "cx")).alias("best"))
+    return best.select(F.col("best.x").alias("x"), "y", F.col("best.cx").alias("cx"), "cy")
 
 
 def still_open(entries: DataFrame, links: DataFrame) -> DataFrame:
@@ -309,10 +330,10 @@ def still_open(entries: DataFrame, links: DataFrame) -> DataFrame:
     few = up.count() <= IDS_BROADCAST
     up = up.join(F.broadcast(top) if few else top, "to", "left").select("c", F.coalesce("top", "to").alias("to"))
     at = entries.join(F.broadcast(up) if few else up, F.col("component") == F.col("c"), "left")
-    at = at.select("key", "short", F.coalesce("to", "component").alias("component"))
-    every = W.partitionBy("key")
-    at = at.select("*", F.min("component").over(every).alias("one"), F.max("component").over(every).alias("other"))
-    return keep(at.where("one != other").select("key", "short", "component"), "jaccard-open")
+    at = at.select("key", "short", "company", F.coalesce("to", "component").alias("component"))
+    spread = at.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"))
+    open_lists = spread.where("one != other").select("key")
+    return keep(at.join(open_lists, "key"), "jaccard-open")
 
 
 def _named(pairs: DataFrame, sets: DataFrame, few: bool) -> DataFrame:
@@ -333,21 +354,15 @@ def verify(
     pairs = keep(pairs, "jaccard-pairs")
     few = pairs.count() <= IDS_BROADCAST
     pairs = keep(_named(pairs, sets, few), "jaccard-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    found = sets.select("set", F.col("rep").alias("doc"))
-    wanted = keep(found.join(F.broadcast(wanted) if few else wanted, "set"), "jaccard-wanted")
+    wanted = pairs.select(F.col("a").alias("set")).unionAll(pairs.select("b")).distinct()
+    wanted = keep(sets.select("set", "rep").join(F.broadcast(wanted) if few else wanted, "set"), "jaccard-wanted")
     named = docs.select(
         F.col(f"`{key}`").cast("bigint").alias("d"), F.col(f"`{text}`").cast("binary").alias("t")
     )
-    ids = F.broadcast(wanted) if few else wanted
-    texts = named.join(ids, F.col("d").eqNullSafe(F.col("doc"))).select("set", "t")
-
-    def same() -> Callable[..., tuple]:
-        memory = _Words()
-        return lambda mark, t: (fingerprint(tokens(words_of(t), memory, k)) == mark,)
-
-    # An id may stand for several texts, so the text of a set is one with its hash.
-    texts = add_columns(texts, [F.col("set"), F.col("t")], same, "is_it boolean").where("is_it")
+    ids, marks = wanted.select("rep").distinct(), wanted.select("set")
+    texts = named.join(F.broadcast(ids) if few else ids, F.col("d").eqNullSafe(F.col("rep")), "left_semi")
+    # An id may stand for several texts: each is hashed once, and one text of each set is taken.
+    texts = with_set(texts, "t", "set", k).join(F.broadcast(marks) if few else marks, "set", "left_semi")
     texts = keep(texts.groupBy("set").agg(F.first("t").alias("t")), "jaccard-texts")
     left = texts.select(F.col("set").alias("a"), F.col("t").alias("text_a"))
     right = texts.select(F.col("set").alias("b"), F.col("t").alias("text_b"))
@@ -369,34 +384,42 @@ def verify(
     return keep(judged.where("linked").select("x", "y", "cx", "cy", "a", "b"), "jaccard-links")
 
 
+def with_set(docs: DataFrame, text: str, out: str, k: int) -> DataFrame:
+    """``docs`` with the hash of the set of each text; null if it has no words."""
+
+    def start() -> Callable[..., tuple]:
+        memory = _Words()
+
+        def work(t: bytes | None) -> tuple:
+            h = tokens(words_of(t), memory, k)
+            return (fingerprint(h) if len(h) else None,)
+
+        return work
+
+    return add_columns(docs, [F.col(f"`{text}`").cast("binary")], start, f"`{out}` binary")
+
+
 def _crossing(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (x, y) of a list whose components differ and whose sketches allow a link."""
-    known = sets.select("short", "n", "sketch")
-    one = entries.join(known, "short").select("key", F.col("short").alias("x"), "component", "n", "sketch")
-    two = one.select(
-        "key",
-        F.col("x").alias("y"),
-        F.col("component").alias("component_2"),
-        F.col("n").alias("n_2"),
-        F.col("sketch").alias("sketch_2"),
-    )
-    most = F.floor((100 - percent) * (F.col("n") + F.col("n_2")) / (100 + percent))
-    bits = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch_2")[i])) for i in range(SKETCH_WORDS)]
-    differ = reduce(add, bits)
-    fits = (F.col("x") < F.col("y")) & (F.col("component") != F.col("component_2"))
-    fits &= 100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")
-    met = one.join(two, (one["key"] == two["key"]) & fits & (differ <= most))
+    """All pairs (x, y) of a list whose components differ and whose sketches allow a link.
+
+    A pair of sets that share several keys comes from the first one only, if that is among the
+    first keys of both; what is left of repetitions goes before the shuffle.
+    """
+    first = F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS)
+    about = entries.groupBy("short").agg(first.alias("first")).join(sets.select("short", "n", "sketch"), "short")
+    one = entries.select("key", "short", "component").join(about, "short").withColumnRenamed("short", "x")
+    two = one.toDF("y", "key", "component_2", "first_2", "n_2", "sketch_2")
+    fits = (F.col("x") < F.col("y")) & (F.col("component") != F.col("component_2")) & _allowed(percent)
+    common = F.array_intersect("first", "first_2")
+    fits &= (F.size(common) == 0) | (F.try_element_at(common, F.lit(1)) == one["key"])
+    met = one.join(two, (one["key"] == two["key"]) & fits)
     return met.select("x", "y", F.col("component").alias("cx"), F.col("component_2").alias("cy")).distinct()
 
 
-def classes(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    percent: int = PERCENT,
-    k: int = SHINGLE,
-) -> DataFrame:
-    """A row per document: key, n_shingles and component_id."""
+def labelled(
+    docs: DataFrame, key: str, text: str, percent: int = PERCENT, k: int = SHINGLE
+) -> tuple[DataFrame, DataFrame]:
+    """(doc, n, set) of every document, and (set, label) of every set; a component is one label."""
     n_sets = max(1, docs.count())
     # Cost figures need only the order of magnitude; rounding keeps plans alike.
     rows = keep(index(docs, key, text, 1 << n_sets.bit_length(), percent, k), "jaccard-index")
@@ -407,26 +430,37 @@ def classes(
         "jaccard-sets",
     )
     entries = keep(lists(rows), "jaccard-lists").withColumn("component", F.col("short"))
-    links = []
+    links, left = [], entries.count()
     for step in range(ROUNDS):
         # Rounds against heads join most of what is similar; then all that is still apart is tried.
-        links.append(verify(docs, sets, nearest_heads(entries, step), key, text, percent, k))
+        links.append(verify(docs, sets, nearest_heads(entries, sets, step, percent), key, text, percent, k))
         entries = still_open(entries, links[-1])
-    links.append(verify(docs, sets, _crossing(entries, sets, percent), key, text, percent, k))
-    pairs = [one.select(F.col("x").alias("a"), F.col("y").alias("b")) for one in links]
-    found = keep(components(reduce(DataFrame.unionAll, pairs)), "jaccard-components")
+        before, left = left, entries.count()
+        if before - left < LEAST_PROGRESS * before or not left:
+            break
+    if left:
+        links.append(verify(docs, sets, _crossing(entries, sets, percent), key, text, percent, k))
+    found = keep(components(reduce(DataFrame.unionAll, [one.select("a", "b") for one in links])), "jaccard-components")
     few = found.count() <= IDS_BROADCAST
-    found = found.withColumnRenamed("node", "short")
-    known = keep(
-        sets.join(F.broadcast(found) if few else found, "short", "left").select(
-            "set", "rep", F.coalesce("component", "short").alias("label")
-        ),
-        "jaccard-labels",
-    )
+    found = found.withColumnRenamed("node", "set")
+    known = sets.select("set", "rep").join(F.broadcast(found) if few else found, "set", "left")
+    known = keep(known.select("set", "rep", F.coalesce("component", "set").alias("label")), "jaccard-labels")
+    return rows.select("doc", "n", "set"), known
+
+
+def classes(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    percent: int = PERCENT,
+    k: int = SHINGLE,
+) -> DataFrame:
+    """A row per document: key, n_shingles and component_id."""
+    rows, known = labelled(docs, key, text, percent, k)
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
+    few = known.count() <= SETS_BROADCAST
     known = known.join(least, "label").select("set", "component_id")
-    few = sets.count() <= SETS_BROADCAST
-    out = rows.select("doc", "n", "set").join(F.broadcast(known) if few else known, "set", "left")
+    out = rows.join(F.broadcast(known) if few else known, "set", "left")
     return out.select(
         F.col("doc").alias(key),
         F.col("n").alias("n_shingles"),
@@ -437,30 +471,41 @@ def classes(
 def one_of_each(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = SHINGLE
 ) -> DataFrame:
-    """``docs`` with one row left of each component: the one with its id.
+    """``docs`` with one row left of each component: one with its smallest id (null last).
 
-    Repeated rows with one id and text are one row. An id that stands for several texts stays if
-    it is that of one's component. Texts without words stay; so do rows without an id.
+    Of several texts of a component under that id the one whose set has the least hash stays, of
+    rows of equal sets one. Texts without words stay.
     """
-    found = classes(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, percent, k)
-    ids = (
-        found.where(F.col(key).isNotNull())
-        .groupBy(F.col(key).alias("id"))
-        .agg(F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-        .where("not stays or n > 1")
-    )
-    ids = keep(ids, "jaccard-ids")
-    name = free_name(docs, "id")
+    rows, known = labelled(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, percent, k)
+    few = known.count() <= SETS_BROADCAST
+    known = known.select("set", "label")
+    members = rows.where("set is not null").join(F.broadcast(known) if few else known, "set")
+    order = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "set")
+    stays = members.groupBy("label").agg(F.min(order).alias("s")).select("s.doc", "s.set", F.lit(True).alias("stays"))
+    stays = keep(stays, "jaccard-stays")
+    few = stays.count() <= IDS_BROADCAST
+    same = F.col("r.doc").eqNullSafe(F.col("s.doc")) & (F.col("r.set") == F.col("s.set"))
+    at = rows.alias("r").join((F.broadcast(stays) if few else stays).alias("s"), same, "left")
+    at = at.select("r.doc", (F.col("stays").isNotNull() | (F.col("n") == 0)).alias("stays"))
+    ids = at.groupBy("doc").agg(F.max("stays").alias("some"), F.count("*").alias("n"))
+    ids = keep(ids.where("not some or n > 1 or doc is null"), "jaccard-ids")
+    name, mark = free_name(docs, "doc"), free_name(docs, "set")
 
     def listed(which: str) -> DataFrame:
-        some = ids.where(which).select(F.col("id").alias(name))
+        some = ids.where(which).select(F.col("doc").alias(name))
         return F.broadcast(some) if some.count() <= IDS_BROADCAST else some
 
-    match = docs[key] == F.col(name)
-    left = docs.join(listed("not stays"), match, "left_anti")
-    if ids.where("stays and n > 1").isEmpty():
+    match = docs[key].cast("bigint").eqNullSafe(F.col(name))
+    left = docs.join(listed("not some"), match, "left_anti")
+    if ids.where("some and (n > 1 or doc is null)").isEmpty():
         return left
-    # Only rows of repeated ids are brought together to drop repeated texts.
-    again = listed("stays and n > 1")
-    once = left.join(again, match, "left_semi").dropDuplicates([key, text])
-    return left.join(again, match, "left_anti").unionByName(once)
+    # Only rows whose id is missing or repeated are hashed again, to tell their texts apart.
+    odd = listed("some and (n > 1 or doc is null)")
+    again = with_set(left.join(odd, match, "left_semi"), text, mark, k)
+    empty = again.where(F.col(mark).isNull())
+    chosen = stays.select(F.col("doc").alias(name), F.col("set").alias(f"{mark}_2"))
+    chosen = F.broadcast(chosen) if few else chosen
+    same = again[key].cast("bigint").eqNullSafe(F.col(name)) & (again[mark] == chosen[f"{mark}_2"])
+    once = again.join(chosen, same, "left_semi").dropDuplicates([key, mark])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return left.join(odd, match, "left_anti").unionByName(once.unionByName(empty).select(*columns))

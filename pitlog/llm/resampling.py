@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlog.llm.common import add_columns, folded, free_name, keep, small_batches, utf8
+from pitlog.llm.common import add_columns, folded, free_name, keep, ranked, small_batches, utf8
 
 LEAST, LONGEST = 1, 1
 BUCKETS = 10_000
@@ -195,20 +195,8 @@ def draw(scored: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCE
     near = fit & (F.col("score") >= last)
     # Ranges of the order, salted by the row so that equal rows can be dealt to several tasks.
     order = [F.desc("score"), F.asc_nulls_last("id"), F.asc("n_features"), F.asc("n_words"), F.asc("salt")]
-    placed = scored.where(near).withColumn("salt", F.monotonically_increasing_id())
-    width = max(1, scored.sparkSession.sparkContext.defaultParallelism)
-    width = max(width, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = placed.repartitionByRange(width, *order).sortWithinPartitions(*order).drop("salt")
-    # The number of a row is its partition, which are in order, above its place therein.
-    placed = keep(placed.withColumn("place", F.monotonically_increasing_id()), "resampling-places")
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    before, starts = 0, []
-    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # at most ``width`` rows
-        starts.append((row.part, before))
-        before += row["count"]
-    starts = F.broadcast(scored.sparkSession.createDataFrame(starts, "part bigint, before bigint"))
-    rank = F.col("before") + at + 1
-    drawn = placed.withColumn("part", part).join(starts, "part")
+    drawn = ranked(scored.where(near).withColumn("salt", F.monotonically_increasing_id()), order, "place")
+    rank = F.col("place") + 1
     drawn = drawn.select(*scored.columns, F.when(rank <= wanted, rank).alias("rank"))
     return drawn.unionAll(scored.where(~near).select("*", undrawn))
 

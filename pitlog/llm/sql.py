@@ -67,7 +67,7 @@ JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (d
 MIXING = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_PLAIN})) AS BIGINT) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS h
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS h
   FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -87,7 +87,7 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM goals
 ), placed AS (
   SELECT s.*, b.source_size, b.target, b.copies, b.target - b.copies * b.source_size AS budget,
-         sum(size) OVER (PARTITION BY s.source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto
+         sum(size) OVER (PARTITION BY s.source ORDER BY h ROWS UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN budgets b ON s.source IS NOT DISTINCT FROM b.source
 )
 SELECT doc_id, size, source_size, target,

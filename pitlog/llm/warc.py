@@ -13,7 +13,8 @@ what a lost or repeated attempt has left is never read. One record at a time is
 A null html is an empty payload. Repeated rows are written each; if several have the largest
 page id, all of those are responses. A null page id is written as "null" and reads back as
 null; it is smaller than any other. A null url leaves out the target header. An empty table
-gives no files and no rows. Too few records for a dictionary give files without one.
+gives no files and no rows. Long payloads take part in the dictionary by slices, and so do few or
+alike ones, by their contents; only a table without any payload gives files without a dictionary.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlog.llm.common import bounded_sample, folder, keep, small_batches
@@ -104,17 +105,33 @@ def parse(data: bytes) -> dict[str, bytes]:
     return out | {"": rest[:size]}
 
 
+def sliced(payload: Column, slices: int = 4, most: int = SAMPLE_RECORD_BYTES) -> Column:
+    """A payload of at most ``most`` bytes whole; of a longer one evenly placed slices of that size together."""
+    size, each = F.length(payload), most // slices
+    parts = [
+        F.substring(payload, (F.floor((size - each) * i / (slices - 1)) + 1).cast("int"), F.lit(each))
+        for i in range(slices)
+    ]
+    return F.when(size <= most, payload).otherwise(F.concat(*parts))
+
+
 def train_dictionary(pages: DataFrame, payload: str = "payload", by: str = "digest") -> bytes:
-    """A dictionary of bounded size from a bounded sample of records; empty if there are too few."""
-    short = pages.where((F.length(payload) > 0) & (F.length(payload) <= SAMPLE_RECORD_BYTES)).select(by, payload)
-    samples = [bytes(r[payload]) for r in bounded_sample(short, by, SAMPLE_RECORDS).collect()]
-    if len(samples) < 8:
+    """A dictionary of bounded size from a bounded sample of records; empty without any payload.
+
+    The sample has one record of each digest; of long ones it has slices. Where the trainer finds
+    the samples too few or too alike, their contents are the dictionary as they are.
+    """
+    some = pages.where((F.length(payload) > 0) & ~F.coalesce("revisit", F.lit(False)))
+    some = some.select(by, sliced(F.col(payload)).alias(payload))
+    chosen = bounded_sample(some, by, SAMPLE_RECORDS).dropDuplicates([by]).orderBy(by)
+    samples = [bytes(r[payload]) for r in chosen.collect()]
+    if not samples:
         return b""
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
+    size = min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 8))
     try:
         return zstandard.train_dictionary(size, samples, threads=1).as_bytes()
-    except zstandard.ZstdError:  # the samples are too few or too alike for the trainer
-        return b""
+    except zstandard.ZstdError:
+        return b"".join(samples)[-DICTIONARY_BYTES:]
 
 
 class Writer:
@@ -237,11 +254,13 @@ def write(
         "payload",
         "response",
         (F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))).alias("revisit"),
+        "digest",
     )
     small_batches(spark)
     store, base = fs.FileSystem.from_uri(path)
     store.create_dir(base, recursive=True)
-    shared = spark.sparkContext.broadcast(train_dictionary(at))
+    shared = spark.sparkContext.broadcast(train_dictionary(marked))
+    marked = marked.drop("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Writer(path, shared.value)
@@ -272,7 +291,8 @@ def read(manifest: DataFrame, payloads: bool = True, where: str | None = None) -
     ``where`` is the address of the file system if the manifest's paths are not local ones.
     """
     where = where or folder(manifest.sparkSession)
-    files = manifest.select("path").repartition("path")
+    # A stated number, or adaptive execution would put the few rows of the manifest into one task.
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
 
     def batch(rows: list[dict]) -> pa.RecordBatch:
         names = list(rows[0])
