@@ -2,6 +2,7 @@
 
 from pitlog.catalog import (  # noqa: F401
     feature_queries,
+    fit_queries,
     label_queries,
     model_queries,
     probability_queries,

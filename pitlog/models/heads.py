@@ -23,10 +23,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from pitlog import schema as S
 from pitlog.functions import labels as L
 from pitlog.functions import vectors as V
+from pitlog.models.boosting import BoostedClasses, MulticlassBooster
+from pitlog.operators.lineage import materialise
 
 MISSING = "__MISSING__"
 SEED = 42
@@ -105,7 +108,9 @@ class FeatureSet:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with a column ``features``."""
+        """``df`` with a column ``features``; rows that were encoded and written before pass."""
+        if "features" in df.columns:
+            return df
         ready = self.model.transform(with_inputs(df, self.categorical, self.numeric))
         return ready.select(*df.columns, F.col(f"{_IN}features").alias("features"))
 
@@ -126,23 +131,32 @@ def label_position(label: Column, classes: Sequence[str]) -> Column:
     return L.position(label, classes).cast("double")
 
 
-def ensemble_members(max_bins: int = 32, size: int = 1) -> dict[str, Estimator]:
-    """The three multiclass members; ``size`` scales trees and iterations."""
+def ensemble_members(
+    n_classes: int, max_bins: int = 32, size: int = 1
+) -> dict[str, Estimator | MulticlassBooster]:
+    """The three multiclass members; ``size`` scales trees, iterations and rounds.
+
+    Boosting has up to 30 rounds a size and stops by itself where rows are held out.
+    """
     return {
         "forest": RandomForestClassifier(
-            numTrees=10 * size, maxDepth=6, maxBins=max_bins, seed=SEED, weightCol="w"
+            numTrees=20 * size, maxDepth=8, maxBins=max_bins, seed=SEED, weightCol="w"
         ),
         "linear": LogisticRegression(
-            maxIter=10 * size, regParam=0.01, family="multinomial", weightCol="w"
+            maxIter=20 * size, regParam=0.01, family="multinomial", weightCol="w"
         ),
-        "boosted": OneVsRest(
-            classifier=GBTClassifier(maxIter=2 * size, maxDepth=3, maxBins=max_bins, seed=SEED),
-            weightCol="w",
-            parallelism=4,
+        "boosted": MulticlassBooster(
+            n_classes, rounds=30 * size, depth=4, patience=3 + size, max_bins=max_bins
         ),
     }
 
 
+def one_vs_rest(max_bins: int = 32, size: int = 1) -> OneVsRest:
+    """A boosted two-class member per class."""
+    boosted = GBTClassifier(maxIter=10 * size, maxDepth=4, maxBins=max_bins, seed=SEED)
+    return OneVsRest(classifier=boosted, weightCol="w", parallelism=4)
+
+
 def probabilities(scored: DataFrame, n_classes: int) -> Column:
     """Probability array of a scored frame.
 
@@ -150,29 +164,36 @@ def probabilities(scored: DataFrame, n_classes: int) -> Column:
     probability is the sigmoid of twice the score; these are normalised to one.
     """
     if "probability" in scored.columns:
-        return V.pad(vector_to_array("probability"), n_classes)
+        array = isinstance(scored.schema["probability"].dataType, ArrayType)
+        return V.pad(F.col("probability") if array else vector_to_array("probability"), n_classes)
     raw = vector_to_array("rawPrediction")
     return V.pad(V.normalise(F.transform(raw, lambda x: 1 / (1 + F.exp(-2 * x)))), n_classes)
 
 
 @dataclass
 class ClassHead:
-    """A classifier over a fixed class list."""
+    """A classifier over a fixed class list.
+
+    With ``validation`` (a boolean column) those rows only decide when boosting stops.
+    """
 
     classes: Sequence[str]
     label: str
     features: FeatureSet
-    estimator: Estimator | None = None
+    estimator: Estimator | MulticlassBooster | None = None
     weight: str | None = None
-    model: Model | None = field(default=None)
+    model: Model | BoostedClasses | None = field(default=None)
+    validation: str | None = None
 
     def fit(self, train: DataFrame) -> ClassHead:
-        self.features.fit(train)
+        held = F.coalesce(F.col(self.validation), F.lit(False)) if self.validation else F.lit(False)
+        if self.features.model is None:
+            self.features.fit(train.where(~held) if self.validation else train)
         y = label_position(F.col(self.label), self.classes)
         w = F.col(self.weight).cast("double") if self.weight else F.lit(1.0)
         rows = (
             self.features.transform(train)
-            .select("features", y.alias("label"), w.alias("w"))
+            .select("features", y.alias("label"), w.alias("w"), held.alias("held_out"))
             .where(F.col("label").isNotNull())
         )
         estimator = self.estimator or RandomForestClassifier(
@@ -198,6 +219,21 @@ class ClassHead:
         return self.score_onto(df, "_p").select(*df.columns, *[c.alias(n) for n, c in columns.items()])
 
 
+def boosted_head(
+    train: DataFrame,
+    label: str,
+    classes: Sequence[str],
+    features: FeatureSet,
+    weight: str | None = None,
+    validation: str | None = None,
+    **settings,
+) -> ClassHead:
+    """A multiclass boosted head; ``settings`` are those of ``MulticlassBooster``."""
+    features.fit(train)
+    booster = MulticlassBooster(len(classes), max_bins=features.max_bins, **settings)
+    return ClassHead(classes, label, features, booster, weight, validation=validation).fit(train)
+
+
 def family_head(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> ClassHead:
     """Three-class head; its probabilities become FAM_PROB_ columns."""
     labelled = train.withColumn("pitch_family", L.pitch_family(F.col("pitch_type_can")))
@@ -211,14 +247,27 @@ def type_ensemble(
     classes: Sequence[str] = S.PITCH_TYPES,
     size: int = 1,
     weight: str | None = "w",
+    validation: str | None = None,
 ) -> dict[str, ClassHead]:
-    """Three fitted members; the tree members share one encoding, the linear one is one-hot."""
-    codes = FeatureSet(categorical, numeric).fit(train)
-    ones = FeatureSet(categorical, numeric, one_hot=True)
-    return {
-        name: ClassHead(classes, "pitch_type_can", ones if name == "linear" else codes, est, weight).fit(train)
-        for name, est in ensemble_members(codes.max_bins, size).items()
-    }
+    """Three fitted members; the tree members share one encoding, the linear one is one-hot.
+
+    Both encodings are fitted and their vectors written once; all passes of the fits read those.
+    Rows of ``validation`` (a boolean column) only decide when boosting stops.
+    """
+    held = F.coalesce(F.col(validation), F.lit(False)) if validation else F.lit(False)
+    columns = ["pitch_type_can", *([weight] if weight else []), *([validation] if validation else [])]
+    out = {}
+    for one_hot in (False, True):
+        features = FeatureSet(categorical, numeric, one_hot=one_hot).fit(train.where(~held))
+        vectors = materialise(features.transform(train).select(*columns, "features"), "vectors")
+        bins = features.max_bins
+        for name, member in ensemble_members(len(classes), bins, size).items():
+            if (name == "linear") == one_hot:
+                stops = validation if isinstance(member, MulticlassBooster) else None
+                rows = vectors if stops or not validation else vectors.where(~held)
+                head = ClassHead(classes, "pitch_type_can", features, member, weight, validation=stops)
+                out[name] = head.fit(rows)
+    return {name: out[name] for name in ensemble_members(len(classes))}
 
 
 @dataclass
@@ -387,7 +436,8 @@ def expected_value(
 
 def importances(head: ClassHead | ValueHead) -> DataFrame:
     """(feature, importance) of all features, largest first."""
-    values = [float(x) for x in head.model.featureImportances.toArray()]
+    boosted = isinstance(head.model, BoostedClasses)
+    values = head.model.importances if boosted else [float(x) for x in head.model.featureImportances.toArray()]
     rows = SparkSession.active().createDataFrame(
         list(zip(head.features.names, values)), "feature string, importance double"
     )

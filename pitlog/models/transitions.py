@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pitlog import schema as S
 from pitlog.functions import vectors as V
 from pitlog.operators.joins import attach_features
+from pitlog.operators.lineage import materialise
 
 ALPHA = 1.0
 
@@ -42,8 +43,21 @@ def transition_tables(
     label: str = "pitch_type_can",
     classes: Sequence[str] = S.PITCH_TYPES,
 ) -> list[DataFrame]:
-    """Count tables from the coarsest context to the finest. An empty context is one row."""
-    return [class_counts(train, c, label, classes, f"n{i}") for i, c in enumerate(contexts)]
+    """Count tables from the coarsest context to the finest. An empty context is one row.
+
+    The rows are grouped once, by the finest context; where contexts are nested the coarser
+    tables add up that small one.
+    """
+    finest = list(contexts[-1])
+    fine = materialise(class_counts(train, finest, label, classes, "_n"), "transitions")
+    tables = []
+    for i, context in enumerate(contexts):
+        if set(context) <= set(finest):
+            added = F.array(*[F.sum(F.col("_n")[k]) for k in range(len(classes))])
+            tables.append(fine.groupBy(*context).agg(added.alias(f"n{i}")))
+        else:
+            tables.append(class_counts(train, context, label, classes, f"n{i}"))
+    return tables
 
 
 def transition_probabilities(

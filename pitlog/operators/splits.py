@@ -164,3 +164,25 @@ def auto_split(
     return labelled.withColumn(
         "split", F.when((F.col("split") == "train") & ~early, "val").otherwise(F.col("split"))
     )
+
+
+def day_blocks(df: DataFrame, blocks: int, date: str = "game_date") -> Column:
+    """The block 0, 1, ... of each row: days in order, cut where a block's share of rows is full.
+
+    A day goes whole into the block of its first row, so no block sees part of a day that another
+    one has; a block may stay empty if one day holds more than its share. Rows without a date are
+    in block 0. One count per calendar day reaches the driver.
+    """
+    days = df.groupBy(F.col(date).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    rows = days.orderBy(F.asc_nulls_first("day")).collect()
+    total, upto, starts, last = sum(r["n"] for r in rows), 0, [], 0
+    for r in rows:
+        block = blocks * upto // total
+        if block > last and r["day"] is not None:
+            starts += [r["day"]] * (block - last)
+            last = block
+        upto += r["n"]
+    out = F.lit(0)
+    for start in starts:
+        out = out + (F.col(date).cast("date") >= F.lit(start)).cast("int")
+    return F.when(F.col(date).isNull(), 0).otherwise(out).cast("int")

@@ -7,17 +7,20 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pitlog import schema as S
-from pitlog.functions import labels as L
 from pitlog.functions import vectors as V
 from pitlog.functions.weights import class_weight, time_decay
+from pitlog.models import context_tree as CT
 from pitlog.models import heads as H
 from pitlog.operators.joins import attach_features
+from pitlog.operators import selection as SL
 from pitlog.operators.lineage import materialise
-from pitlog.operators.splits import first_fraction, pitch_order
+from pitlog.operators.splits import day_blocks, first_fraction, pitch_order
 from pitlog.plans import blending as B
 from pitlog.plans import metrics as M
+from pitlog.plans import stacking as ST
 
 CATEGORICAL = ("stand", "p_throws", "count_state", "prev_pitch_1", "prev_pitch_2")
 NUMERIC = (
@@ -61,13 +64,22 @@ def _named(metrics: DataFrame, model: str) -> DataFrame:
     return metrics.select(F.lit(model).alias("model"), "metric", "value")
 
 
-def ensemble_report(features: DataFrame) -> DataFrame:
+def model_inputs(df: DataFrame) -> tuple[list[str], list[str]]:
+    """The features known before the pitch that ``df`` has, as (categorical, numeric)."""
+    names = SL.safe_features(df)
+    text = [c for c in names if isinstance(df.schema[c].dataType, StringType)]
+    return text, [c for c in names if c not in text]
+
+
+def ensemble_report(features: DataFrame, size: int = 1) -> DataFrame:
     """(model, metric, value) on validation rows: three members, and their best blend.
 
-    The members score the same rows one after the other, as projections of one scan.
+    The last fifth of the training days decides when boosting stops. The members score the same
+    rows one after the other, as projections of one scan.
     """
     train, val = split_features(features)
-    members = H.type_ensemble(weighted(train), CATEGORICAL, NUMERIC)
+    train = weighted(train).withColumn("held", day_blocks(train, 5) == 4)
+    members = H.type_ensemble(train, *model_inputs(train), size=size, validation="held")
     names = [f"p{i}" for i in range(len(members))]
     scored = with_truth(val, S.PITCH_TYPES, "pitch_type_can")
     for name, head in zip(names, members.values()):
@@ -80,17 +92,86 @@ def ensemble_report(features: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+CONTEXTS = ("prev_pitch_1", "count_state", "prev_pitch_2", "prev_pitch_3")
+
+
+def sequence_blend_report(features: DataFrame) -> DataFrame:
+    """(model, metric, value) on the last block: a tree member, the context tree, and their blend.
+
+    Both members are fitted on the first three blocks, of which the third stops the boosting and
+    prunes the contexts; the fourth chooses the weights among the candidates; the fifth judges.
+    """
+    lags = {c: F.coalesce(c, F.lit("NONE")) for c in CONTEXTS if c.startswith("prev_")}
+    table = ST.blocked(features.withColumn("count_state", F.coalesce("count_state", F.lit("0_0"))))
+    train = table.where(F.col(ST.BLOCK) < 3).withColumn("held", F.col(ST.BLOCK) == 2)
+    inputs = H.FeatureSet(CATEGORICAL, NUMERIC).fit(train.where("not held"))
+    vectors = materialise(inputs.transform(train).select("pitch_type_can", "held", "features"), "vectors")
+    head = H.boosted_head(
+        vectors, "pitch_type_can", S.PITCH_TYPES, inputs, validation="held", rounds=20, depth=4, patience=4
+    )
+    tree = CT.fit(train.withColumns(lags), CONTEXTS, held=F.col("held"), refit=True)
+    later = with_truth(table.where(F.col(ST.BLOCK) >= 3), S.PITCH_TYPES, "pitch_type_can")
+    scored = tree.predict(head.score_onto(later, "p0").withColumns(lags), "p1")
+    scored = materialise(scored.select(*S.PITCH_KEY, ST.BLOCK, Y, "p0", "p1"), "members", [ST.BLOCK])
+    choice, judged = scored.where(F.col(ST.BLOCK) == 3), scored.where(F.col(ST.BLOCK) > 3)
+    best = B.best_weights(B.score_weights(choice, ["p0", "p1"], Y, B.SEQUENCE_WEIGHTS)).first()
+    blend = B.blended(judged, ["p0", "p1"], [best["w0"], best["w1"]])
+    reports = [
+        _named(M.classification_metrics(judged, Y, "p0"), "boosted"),
+        _named(M.classification_metrics(judged, Y, "p1"), "context_tree"),
+        _named(M.classification_metrics(blend, Y), "blend"),
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
 def family_features(features: DataFrame) -> DataFrame:
-    """Every row with its family probabilities, the head fitted on the first 80 %."""
-    train, _ = split_features(features)
-    return H.family_head(train, CATEGORICAL, NUMERIC).attach(features, "FAM_PROB_")
+    """Every row with family probabilities of a head that was fitted on earlier blocks only."""
+    table = ST.blocked(features)
+    fit = lambda train: H.family_head(train, CATEGORICAL, NUMERIC)
+    return ST.stacked(table, fit, S.FAMILIES, "FAM_PROB_")
+
+
+def type_head(train: DataFrame) -> H.ClassHead:
+    return H.ClassHead(S.PITCH_TYPES, "pitch_type_can", H.FeatureSet(CATEGORICAL, NUMERIC)).fit(train)
+
+
+def linear_type_head(train: DataFrame) -> H.ClassHead:
+    linear = H.ensemble_members(len(S.PITCH_TYPES))["linear"]
+    features = H.FeatureSet(CATEGORICAL, NUMERIC, one_hot=True)
+    return H.ClassHead(S.PITCH_TYPES, "pitch_type_can", features, linear.setWeightCol("w")).fit(train)
 
 
 def stacked_features(features: DataFrame) -> DataFrame:
-    """Every row with type probabilities, their groups, maximum and entropy."""
-    train, _ = split_features(features)
-    head = H.ClassHead(S.PITCH_TYPES, "pitch_type_can", H.FeatureSet(CATEGORICAL, NUMERIC)).fit(train)
-    return head.attach(features, "PT_PROB_", S.PROBABILITY_GROUPS)
+    """Every row with out-of-sample type probabilities, their groups, maximum and entropy."""
+    return ST.stacked(ST.blocked(features), type_head, S.PITCH_TYPES, "PT_PROB_", S.PROBABILITY_GROUPS)
+
+
+def outcome_report(features: DataFrame) -> DataFrame:
+    """(model, metric, value) of both outcome stages on the out-of-sample blend of two type heads."""
+    table = ST.blocked(features.withColumn("_y", H.label_position(F.col("pitch_type_can"), S.PITCH_TYPES).cast("int")))
+    fits = {"forest": type_head, "linear": linear_type_head}
+    rows, _ = ST.blended_members(table, fits, "_y", S.PITCH_TYPES)
+    return ST.outcome_report(rows)
+
+
+def boosting_report(features: DataFrame, **settings) -> DataFrame:
+    """(model, metric, value) of multiclass boosting on later rows, and of the class shares.
+
+    The last fifth of the training days decides when boosting stops; ``rounds`` is what it kept.
+    """
+    train, val = split_features(features)
+    train = train.withColumn("held", day_blocks(train, 5) == 4)
+    inputs = H.FeatureSet(*model_inputs(train)).fit(train.where("not held"))
+    rows = materialise(inputs.transform(train).select("pitch_type_can", "held", "features"), "vectors")
+    head = H.boosted_head(rows, "pitch_type_can", S.PITCH_TYPES, inputs, validation="held", **settings)
+    scored = head.score_onto(with_truth(val, S.PITCH_TYPES, "pitch_type_can"))
+    report = ST.against_prior(
+        with_truth(train, S.PITCH_TYPES, "pitch_type_can"), scored, len(S.PITCH_TYPES), "boosted"
+    )
+    rounds = train.sparkSession.createDataFrame(
+        [("boosted", "rounds", float(head.model.rounds))], "model string, metric string, value double"
+    )
+    return report.unionByName(rounds)
 
 
 def value_report(features: DataFrame, target: str) -> DataFrame:
@@ -127,11 +208,5 @@ def outcome_rows(features: DataFrame, probs: DataFrame, key: Sequence[str] = S.P
 
 
 def chain_report(features: DataFrame) -> DataFrame:
-    """(model, metric, value) of the type model and of the outcome model behind it."""
-    train, val = split_features(features)
-    first, second = H.two_model_chain(train, CATEGORICAL, NUMERIC)
-    typed = val.withColumn("pitch_type_can", F.coalesce("pitch_type_can", F.lit(S.UNKNOWN_TYPE)))
-    rows = H.with_predicted_type(typed, first).withColumn(
-        "outcome6", L.outcome6(F.col("events"), F.col("description"))
-    )
-    return evaluate(first, typed, "type").unionByName(evaluate(second, rows, "outcome"))
+    """(model, metric, value) of the type model and of the outcome model behind it, out of sample."""
+    return ST.chain_report(ST.blocked(features), CATEGORICAL, NUMERIC)

@@ -18,3 +18,9 @@ def exists(spark: SparkSession, path: str) -> bool:
 def committed(spark: SparkSession, path: str) -> bool:
     """Whether a Spark write to ``path`` finished."""
     return exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one of this library's own tables."""
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)

@@ -46,8 +46,7 @@ def test_unseen_label_is_scored(split, head):
 
 def test_one_vs_rest_member_is_normalised(split):
     train = T.weighted(split[0])
-    members = H.ensemble_members(64)
-    head = H.ClassHead(("BALL", "STRIKE", "IN_PLAY"), "side3", H.FeatureSet(["stand"], NUMERIC), members["boosted"], "w")
+    head = H.ClassHead(("BALL", "STRIKE", "IN_PLAY"), "side3", H.FeatureSet(["stand"], NUMERIC), H.one_vs_rest(64), "w")
     rows = train.withColumn("side3", F.element_at(F.array(F.lit("BALL"), F.lit("STRIKE"), F.lit("IN_PLAY")), (F.col("pitch_number") % 3 + 1).cast("int")))
     head.fit(rows)
     totals = head.score(rows, KEY).select(V.total(F.col("probs")).alias("s"))
@@ -56,7 +55,7 @@ def test_one_vs_rest_member_is_normalised(split):
 
 def test_one_vs_rest_probabilities_are_those_of_its_members(split):
     train = T.weighted(split[0]).withColumn("side", F.element_at(F.array(*map(F.lit, "abc")), (F.col("balls") % 3 + 1).cast("int")))
-    head = H.ClassHead("abc", "side", H.FeatureSet([], ["strikes", "pitch_number"]), H.ensemble_members()["boosted"], "w")
+    head = H.ClassHead("abc", "side", H.FeatureSet([], ["strikes", "pitch_number"]), H.one_vs_rest(), "w")
     head.fit(train)
     rows = head.features.transform(train).orderBy(*KEY).limit(20)
     own = [
