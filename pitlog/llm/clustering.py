@@ -69,7 +69,7 @@ def first_centroids(points: DataFrame, k: int = CLUSTERS, seed: str = SEED) -> n
     """The ``k`` points with the smallest sha256 of ``seed:id``, in ascending order."""
     mark = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256)
     rows = points.select("x", mark.alias("mark")).orderBy("mark", "x").limit(k).collect()
-    return np.array([r.x for r in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([r.x for r in rows], dtype=np.int64).reshape(len(rows), len(rows[0].x) if rows else 0)
 
 
 def _distances(x: np.ndarray, centroids: np.ndarray, rows: np.ndarray, which: np.ndarray) -> np.ndarray:

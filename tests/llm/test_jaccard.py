@@ -58,6 +58,34 @@ def test_components_are_those_of_all_pairs(spark):
     assert M.classes(docs.limit(0)).count() == 0
 
 
+def test_groups_without_ids_and_under_one_id_leave_one(spark):
+    base = ["w%d" % i for i in range(60)]
+    near = lambda i: " ".join(base[:i] + ["x"] + base[i + 1 :])
+    rows = [(None, near(59)), (None, near(59)), (5, near(58)), (5, near(59)), (6, near(57)), (5, "quite another text")]
+    rows += [(None, "lone text"), (None, "lone text"), (None, ""), (7, None), (None, "lone  TEXT")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = M.one_of_each(docs).collect()
+    near_left = [r for r in kept if r.text and r.text.startswith("w0")]
+    assert len(near_left) == 1 and near_left[0].doc_id == 5
+    rest = sorted(str((r.doc_id, (r.text or "").lower().split())) for r in kept if r not in near_left)
+    want = [(5, ["quite", "another", "text"]), (None, ["lone", "text"]), (None, []), (7, [])]
+    assert rest == sorted(map(str, want))
+
+
+def test_large_group_of_near_copies_with_several_rounds(spark):
+    # Copies that differ from each other by about as much as is allowed: many links only over others.
+    r = random.Random(9)
+    base = ["w%d" % i for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 3, 4])):
+            words[r.randrange(150)] = "v%d" % r.randrange(10**6)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, M.classes(docs).collect()), key=str) == brute(rows)
+
+
 def test_one_of_each_component_stays(spark):
     rows = corpus(2, 60)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component_id", F.lit("clash"))
@@ -97,12 +125,14 @@ def test_similar_sets_share_a_key():
         tried += 1
         for n_sets in (1 << 10, 1 << 34):
             (one, may_one), (two, may_two) = M.index_keys(a, n_sets), M.index_keys(b, n_sets)
-            for band in range(64):
-                # Whatever both leave out, a common key remains in the band of the pair.
-                both = np.intersect1d(one[one & 63 == band], two[two & 63 == band])
-                if len(both) > may_one.get(band, 0) + may_two.get(band, 0):
-                    break
-            else:
+            order = {int(k): r.random() for k in np.union1d(one, two)}
+
+            def first(keys, band, may):
+                own = sorted((int(k) for k in keys[keys & 63 == band]), key=order.get)
+                return set(own[: len(own) - may.get(band, 0)])
+
+            # Whatever the order of the keys, leaving out the last ones spares a common key.
+            if not any(first(one, k, may_one) & first(two, k, may_two) for k in range(64)):
                 raise AssertionError((len(a), len(b)))
             changed = sum(int(x).bit_count() for x in (M.sketch(a) ^ M.sketch(b)).view(np.uint64))
             assert changed <= len(a) + len(b) - 2 * common
