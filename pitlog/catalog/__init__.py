@@ -7,5 +7,6 @@ from pitlog.catalog import (  # noqa: F401
     model_queries,
     probability_queries,
     profile_queries,
+    upkeep_queries,
 )
 from pitlog.catalog.registry import ORACLES, QUERIES  # noqa: F401

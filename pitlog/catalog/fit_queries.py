@@ -6,9 +6,12 @@ and by tests for what must hold of them.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from pitlog import schema as S
+from pitlog.catalog import feature_sql as Q
 from pitlog.catalog.probability_queries import N, SCORES, scored
 from pitlog.catalog.registry import query, r6, tidy
 from pitlog.catalog.standin import KEY, KEY_SQL, pitches, pitches_sql
@@ -20,6 +23,7 @@ from pitlog.operators import joins as J
 from pitlog.operators.splits import day_blocks
 from pitlog.plans import features as FE
 from pitlog.plans import metrics as M
+from pitlog.plans import time_travel as TT
 from pitlog.plans import training as T
 
 _DAYS = """days AS (SELECT game_date, COUNT(*) AS n FROM pitches GROUP BY 1),
@@ -190,6 +194,42 @@ def sequence_blend(spark, sf_dir):
     return tidy(T.sequence_blend_report(_features(spark, sf_dir)))
 
 
+# --- time travel -----------------------------------------------------------------------
+
+_PICK = "CAST('0x' || substr(md5(CAST(pitcher AS VARCHAR) || ':' || CAST(game_date AS VARCHAR)), 1, 4) AS INT) < 16384"
+_LEAKS = {"velocity_7d": "AVG(v) OVER w", "whiff_rate_7d": "AVG(wh) OVER w"}
+
+
+def _time_travel_sql() -> str:
+    """Clean columns differ nowhere; the planted ones where the day itself changes the mean."""
+    families = ["form", "platoon", "count_state"]
+    leaky = Q.rolled("leaky", "form_d", "pitcher", False, {c: (e, Q.W7_TODAY) for c, e in _LEAKS.items()})
+    rows = []
+    for f in families:
+        for c in Q.FAMILIES[f][2]:
+            count = "0"
+            if c in _LEAKS:
+                count = f"""(SELECT COUNT(*) FROM form f JOIN leaky l USING (pitcher, game_date) WHERE {_PICK}
+  AND CASE WHEN f.{c} IS NULL OR l.{c} IS NULL THEN (f.{c} IS NULL) <> (l.{c} IS NULL)
+    ELSE abs(f.{c} - l.{c}) > 1e-6 END)"""
+            rows.append(f"SELECT 'time_travel' AS \"check\", '{c}' AS item, CAST({count} AS DOUBLE) AS value")
+    return f"""WITH {pitches_sql()}, {Q.family_ctes(families)}, {leaky}, r AS ({" UNION ALL ".join(rows)})
+SELECT "check", item, value, CAST(value = 0 AS BIGINT) AS passed FROM r"""
+
+
+@query("audit_time_travel", _time_travel_sql())
+def audit_time_travel(spark, sf_dir):
+    """A quarter of all pitcher days, with two planted columns that include the day itself."""
+    log = pitches(spark, sf_dir)
+    families = [FE.form_family(), FE.platoon_family(), FE.count_state_family()]
+    table = FE.rolling_features(log, "pitcher", "game_date", families)
+    leaky = FE.rolling_features(log, "pitcher", "game_date", [replace(families[0], frame=FE.WITH_7)])
+    table = J.attach_features(
+        table.drop(*_LEAKS), leaky.select("pitcher", "game_date", *_LEAKS), ["pitcher", "game_date"]
+    )
+    return tidy(TT.time_travel(table, log, "pitcher", families, share=0.25))
+
+
 # --- per-entity fits --------------------------------------------------------------------
 
 

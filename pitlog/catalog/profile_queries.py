@@ -242,7 +242,7 @@ def audit_equals_current(spark, sf_dir):
 
 
 _RECOMPUTED = {
-    f"cum_{t.lower()}_{m}": (t, m) for t in ("FF", "SL", "CH") for m in ("velocity", "count")
+    f"cum_{t.lower()}_{m}": (t, m) for t in ("FF", "SL", "CH") for m in ("velocity", "spin", "count")
 }
 
 
@@ -255,7 +255,7 @@ def _recompute_sql(t: str, measure: str) -> str:
         again = f"COUNT(*) {before}"
     else:
         test = f"NOT COALESCE(CASE WHEN again IS NULL THEN {col} IS NULL ELSE abs({col} - again) < 0.01 END, false)"
-        again = f"AVG(release_speed) {before}"
+        again = f"AVG({'release_speed' if measure == 'velocity' else 'release_spin_rate'}) {before}"
     return f"""SELECT COUNT(*) FROM (SELECT {col}, {again} AS again FROM running
       WHERE pitch_type_can = '{t}') WHERE {test}"""
 

@@ -132,16 +132,16 @@ def label_position(label: Column, classes: Sequence[str]) -> Column:
 
 
 def ensemble_members(
-    n_classes: int, max_bins: int = 32, size: int = 1
+    n_classes: int, max_bins: int = 32, size: int = 1, forest: Mapping | None = None
 ) -> dict[str, Estimator | MulticlassBooster]:
     """The three multiclass members; ``size`` scales trees, iterations and rounds.
 
-    Boosting has up to 30 rounds a size and stops by itself where rows are held out.
+    Boosting has up to 30 rounds a size and stops by itself where rows are held out. ``forest``
+    are parameters for the forest, such as the best ones of a search.
     """
+    trees = {"numTrees": 20 * size, "maxDepth": 8} | dict(forest or {})
     return {
-        "forest": RandomForestClassifier(
-            numTrees=20 * size, maxDepth=8, maxBins=max_bins, seed=SEED, weightCol="w"
-        ),
+        "forest": RandomForestClassifier(maxBins=max_bins, seed=SEED, weightCol="w", **trees),
         "linear": LogisticRegression(
             maxIter=20 * size, regParam=0.01, family="multinomial", weightCol="w"
         ),
@@ -248,6 +248,7 @@ def type_ensemble(
     size: int = 1,
     weight: str | None = "w",
     validation: str | None = None,
+    forest: Mapping | None = None,
 ) -> dict[str, ClassHead]:
     """Three fitted members; the tree members share one encoding, the linear one is one-hot.
 
@@ -261,7 +262,7 @@ def type_ensemble(
         features = FeatureSet(categorical, numeric, one_hot=one_hot).fit(train.where(~held))
         vectors = materialise(features.transform(train).select(*columns, "features"), "vectors")
         bins = features.max_bins
-        for name, member in ensemble_members(len(classes), bins, size).items():
+        for name, member in ensemble_members(len(classes), bins, size, forest).items():
             if (name == "linear") == one_hot:
                 stops = validation if isinstance(member, MulticlassBooster) else None
                 rows = vectors if stops or not validation else vectors.where(~held)

@@ -133,6 +133,11 @@ def rolling_features(
     df: DataFrame, entity: str, date: str, families: Sequence[Family]
 ) -> DataFrame:
     """All families of one entity as one wide table keyed by (entity, date)."""
+    return rolled_days(daily_wide(df, entity, date, families), entity, date, families)
+
+
+def rolled_days(days: DataFrame, entity: str, date: str, families: Sequence[Family]) -> DataFrame:
+    """The families from their daily sums (``daily_wide``), which may have been kept."""
     rolled: list[str] = []
     counts: list[str] = []
     for fam in families:
@@ -156,9 +161,7 @@ def rolling_features(
                 rolled.append(f"CASE WHEN {shown} THEN {rows} END AS `{_total_name(fam, value)}`")
 
     wide = (
-        daily_wide(df, entity, date, families)
-        .selectExpr(entity, date, f"{' + '.join(counts)} AS _rows", *rolled)
-        .where("_rows > 0")
+        days.selectExpr(entity, date, f"{' + '.join(counts)} AS _rows", *rolled).where("_rows > 0")
     )
     totals = {fam.name: {v: _total_name(fam, v) for v in fam.values} for fam in families if fam.shares}
     shares = []

@@ -75,7 +75,7 @@ def to_date_pairs(types: Sequence[str] = S.PITCH_TYPES) -> dict[str, tuple[str,
 def recompute_running(
     df: DataFrame, speed: str = "velocity", tolerance: float = 0.01
 ) -> DataFrame:
-    """Rows whose running count or mean differs from a recomputation inside the type.
+    """Rows whose running count or mean (speed, spin) differs from a recomputation inside the type.
 
     On rows of a type, the running mean must be the mean of the earlier rows of
     that type and the running count their number, which the first row has none of.
@@ -85,16 +85,17 @@ def recompute_running(
         [*GAME, "pitch_type_can"],
         IN_GAME,
         row_count="_n",
-        means={"_mean": F.col("release_speed")},
+        means={"_speed": F.col("release_speed"), "_spin": F.col("release_spin_rate")},
     )
     bad = {}
     for t in TYPES:
-        here = F.col("pitch_type_can") == t
-        mean, count = F.col(f"cum_{t.lower()}_{speed}"), F.col(f"cum_{t.lower()}_count")
-        agrees = F.when(F.col("_mean").isNull(), mean.isNull()).otherwise(
-            F.coalesce(F.abs(mean - F.col("_mean")) < tolerance, F.lit(False))
-        )
-        bad[f"cum_{t.lower()}_{speed}"] = here & ~agrees
+        here, count = F.col("pitch_type_can") == t, F.col(f"cum_{t.lower()}_count")
+        for name, again in ((speed, F.col("_speed")), ("spin", F.col("_spin"))):
+            mean = F.col(f"cum_{t.lower()}_{name}")
+            agrees = F.when(again.isNull(), mean.isNull()).otherwise(
+                F.coalesce(F.abs(mean - again) < tolerance, F.lit(False))
+            )
+            bad[f"cum_{t.lower()}_{name}"] = here & ~agrees
         bad[f"cum_{t.lower()}_count"] = here & (F.coalesce(count, F.lit(0)) != F.col("_n"))
     row = both.agg(*[F.count_if(c).alias(n) for n, c in bad.items()])
     return _report("recompute_running", row, list(bad))

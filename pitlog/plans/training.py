@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -14,6 +15,7 @@ from pitlog.functions import vectors as V
 from pitlog.functions.weights import class_weight, time_decay
 from pitlog.models import context_tree as CT
 from pitlog.models import heads as H
+from pitlog.models import search as SE
 from pitlog.operators.joins import attach_features
 from pitlog.operators import selection as SL
 from pitlog.operators.lineage import materialise
@@ -71,15 +73,16 @@ def model_inputs(df: DataFrame) -> tuple[list[str], list[str]]:
     return text, [c for c in names if c not in text]
 
 
-def ensemble_report(features: DataFrame, size: int = 1) -> DataFrame:
+def ensemble_report(features: DataFrame, size: int = 1, forest: Mapping | None = None) -> DataFrame:
     """(model, metric, value) on validation rows: three members, and their best blend.
 
     The last fifth of the training days decides when boosting stops. The members score the same
-    rows one after the other, as projections of one scan.
+    rows one after the other, as projections of one scan. ``forest`` are the forest's parameters
+    (see ``searched_ensemble_report``).
     """
     train, val = split_features(features)
     train = weighted(train).withColumn("held", day_blocks(train, 5) == 4)
-    members = H.type_ensemble(train, *model_inputs(train), size=size, validation="held")
+    members = H.type_ensemble(train, *model_inputs(train), size=size, validation="held", forest=forest)
     names = [f"p{i}" for i in range(len(members))]
     scored = with_truth(val, S.PITCH_TYPES, "pitch_type_can")
     for name, head in zip(names, members.values()):
@@ -92,6 +95,30 @@ def ensemble_report(features: DataFrame, size: int = 1) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
+def searched_ensemble_report(
+    features: DataFrame, settings: Sequence[dict], store: str, size: int = 1
+) -> DataFrame:
+    """The ensemble's report with the forest parameters that halving finds best.
+
+    The search is fitted and judged on training rows only: their last fifth of days is its
+    validation set, so the report's rows have no part in the choice.
+    """
+    train, _ = split_features(features)
+    train = materialise(train.withColumn("held", day_blocks(train, 5) == 4).withColumn("w", F.lit(1.0)), "search")
+    results = SE.halving(
+        train.where("not held"),
+        train.where("held"),
+        lambda p: RandomForestClassifier(seed=H.SEED, weightCol="w", maxBins=64, **p),
+        S.PITCH_TYPES,
+        "pitch_type_can",
+        (CATEGORICAL, NUMERIC),
+        settings,
+        S.PITCH_KEY,
+        store,
+    )
+    return ensemble_report(features, size, SE.best_params(results))
+
+
 CONTEXTS = ("prev_pitch_1", "count_state", "prev_pitch_2", "prev_pitch_3")
 
 

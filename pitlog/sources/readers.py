@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from pitlog import schema as S
 from pitlog.functions.frames import conform
-from pitlog.operators.joins import between_dates
+from pitlog.sources.drift import read_drifting
 from pitlog.sources.paths import exists
 
 log = logging.getLogger(__name__)
@@ -28,12 +28,11 @@ def read_seasons(
     date_range: str | None = None,
     date: str = "game_date",
 ) -> DataFrame:
-    """Several files as one log. Schemas may drift by season: columns merge by name.
+    """Several files as one log. Schemas may drift by season: columns merge by name, types widen.
 
-    The range filter sits directly on the scan and is pushed into it.
+    The range filter sits directly on each scan and is pushed into it.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(*paths)
-    return df.where(between_dates(date, date_range)) if date_range else df
+    return read_drifting(spark, paths, date_range, date)
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlog.functions.frames import downcast
+from pitlog.operators.selection import assert_no_leaks
 from pitlog.sources.paths import committed
 
 ROWS_PER_FILE = 5_000_000
@@ -37,8 +38,26 @@ def write_partitioned(
     )
 
 
-def write_features(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Feature table with floats, zstd, partitioned by the season of its date."""
+def write_features(
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    features: Sequence[str] = (),
+    gate: Callable[[DataFrame, list[str]], DataFrame] | None = None,
+) -> None:
+    """Feature table with floats, zstd, partitioned by the season of its date.
+
+    ``features`` are the columns that models will see. Before anything is written their names are
+    tested against the tokens of current-pitch measurements, and ``gate`` (such as
+    ``audits.leak_gate``) reports on what the data of those that look like one says; a failed row
+    stops the write.
+    """
+    present = [c for c in features if c in df.columns]
+    assert_no_leaks(present, exact=True)
+    if gate is not None and present:
+        failed = gate(df, present).where("NOT passed").collect()
+        if failed:
+            raise ValueError(f"leaks found before writing: {[(r['check'], r['item'], r['value']) for r in failed]}")
     out = downcast(df)
     if "season" not in out.columns:
         out = out.withColumn("season", F.year("game_date"))
