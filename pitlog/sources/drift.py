@@ -1,8 +1,9 @@
 """Reading season files whose schemas drift.
 
-Files are grouped by the schema in their footers. Each group is one scan with its own types, so
-filters and columns are still pushed into it; its rows are then cast to one common schema and
-united by name. Types widen along a fixed lattice: whole numbers to longer ones and to double,
+Files are grouped by the types that their footers give to the columns whose types drift; a column
+that a file lacks, or has elsewhere, sets no file apart. Each group is one scan with its own types,
+so filters and columns are still pushed into it; its rows are then cast to one common schema and
+united by name. Without drift there is one scan. Types widen along a fixed lattice: whole numbers to longer ones and to double,
 float to double, dates to timestamps, and dates or booleans beside text to text. What has no
 common type is a conflict, reported with the files that disagree.
 """
@@ -101,13 +102,11 @@ def read_drifting(
         if missing:
             raise ValueError(f"no file has the columns {missing}")
         wanted = T.StructType([wanted[c] for c in columns])
-    groups: dict[str, list[str]] = {}
-    for path, schema in found.items():
-        # Order does not matter, as columns are matched by name.
-        groups.setdefault(str(sorted((f.name, f.dataType.simpleString()) for f in schema)), []).append(path)
     parts = []
-    for members in groups.values():
-        schema = found[members[0]]
+    for kinds, members in _groups(found):
+        schema = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in wanted])
+        if date not in schema.names and date_range:
+            schema = schema.add(date, kinds.get(date, common_schema(found)[date].dataType))
         df = spark.read.schema(schema).parquet(*members)
         if date_range and isinstance(schema[date].dataType, T.StringType):
             # Compared as text, which the scan takes; a cast would stay above it.
@@ -116,8 +115,6 @@ def read_drifting(
             df = df.where(between_dates(date, date_range))
 
         def column(f: T.StructField, schema: T.StructType = schema) -> Column:
-            if f.name not in schema.names:
-                return F.lit(None).cast(f.dataType).alias(f.name)
             same = schema[f.name].dataType == f.dataType
             return F.col(f"`{f.name}`") if same else F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
 
@@ -125,6 +122,27 @@ def read_drifting(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _groups(found: Mapping[str, T.StructType]) -> list[tuple[dict[str, T.DataType], list[str]]]:
+    """(types of the drifting columns, paths) of files that one scan can read."""
+    every: dict[str, list[T.DataType]] = {}
+    for schema in found.values():
+        for f in schema:
+            if f.dataType not in every.setdefault(f.name, []):
+                every[f.name].append(f.dataType)
+    drifting = {name for name, kinds in every.items() if len(kinds) > 1}
+    out: list[tuple[dict[str, T.DataType], list[str]]] = []
+    for path, schema in found.items():
+        own = {f.name: f.dataType for f in schema if f.name in drifting}
+        for kinds, members in out:
+            if all(kinds.get(name, kind) == kind for name, kind in own.items()):
+                kinds.update(own)
+                members.append(path)
+                break
+        else:
+            out.append((own, [path]))
+    return out
+
+
 def drift_report(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """(column_name, data_type, n_paths, paths): every type a column has, for review before a read."""
     rows: dict[tuple[str, str], list[str]] = {}
