@@ -5,8 +5,9 @@ real games, but not for a key that holds a large part of the log. So sequences
 are cut into blocks by their leading order column: a window runs inside each
 block, and what earlier blocks of the same sequence contribute (sums, row
 count, last few rows) is added from a carry table with one row per later block.
-Where every sequence fits in its first block the carry table is empty, and
-adaptive execution drops the join to it.
+The range of the leading column tells beforehand whether there are later blocks
+at all; where there are none, as in an ordinary log, rows are read, shuffled and
+windowed once.
 """
 
 from __future__ import annotations
@@ -44,8 +45,10 @@ def running_features(
     Keys and order columns must not be NULL, and ``order`` must be total inside a
     sequence. Its first column is an integer and sets the blocks: ``block_width``
     consecutive values share one. ``None`` runs one window per sequence, for logs
-    whose sequences are known to be short.
+    whose sequences are known to be short, and is what becomes of a log that has one block.
     """
+    if block_width is not None and _one_block(df, order[0], block_width):
+        block_width = None
     counts, means, lags = dict(counts or {}), dict(means or {}), dict(lags or {})
     parts = {f"_c_{n}": F.when(c, 1).otherwise(0) for n, c in counts.items()}
     for n, v in means.items():
@@ -92,6 +95,13 @@ def running_features(
     )
 
 
+def _one_block(df: DataFrame, leading: str, block_width: int) -> bool:
+    """Whether all rows lie in one block; reads the leading order column only."""
+    block = F.floor(F.col(leading) / block_width)
+    row = df.agg(F.min(block).alias("low"), F.max(block).alias("high")).first()
+    return row["low"] == row["high"]
+
+
 def _carry(
     df: DataFrame,
     keys: Sequence[str],

@@ -7,7 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlog.catalog.standin import pitches
+from pitlog.models import context_tree as C
+from pitlog.models import transitions as T
 from pitlog.operators import joins as J
+from pitlog.plans import audits as A
 from pitlog.plans import features as P
 
 SF = "/root/testdata/sf0.001"
@@ -51,7 +54,7 @@ def test_full_table_joins_the_log_once_per_entity(spark):
     text = plan(P.historical_table(pitches(spark, SF)))
     joins = re.findall(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[(\w+)#", text)
     by_key = [k for _, k in joins]
-    assert sorted(by_key) == ["batter", "pitcher", "pitcher"]  # features, features, block carry
+    assert sorted(by_key) == ["batter", "pitcher"]
 
 
 @pytest.fixture
@@ -105,3 +108,34 @@ def test_shares_scan_the_log_once(spark):
         df.collect()
         text = plan(df).split("== Initial Plan ==")[0]
         assert "ReusedExchange" in text
+
+
+@pytest.mark.parametrize(
+    "build,scans,exchanges",
+    [
+        (P.within_game, 1, 1),  # F8 and F9
+        (P.lag_block, 1, 1),  # F16
+        (P.sequence_block, 1, 1),  # F17
+        (lambda log: A.recompute_running(P.within_game(log)), 1, 1),
+        (P.historical_table, 3, 5),
+    ],
+)
+def test_ordinary_logs_are_read_and_shuffled_once_for_sequences(spark, build, scans, exchanges):
+    text = plan(build(pitches(spark, SF)))
+    assert text.count("FileScan parquet") == scans
+    assert text.count("Exchange hashpartitioning") == exchanges
+
+
+def test_transition_tables_group_the_rows_once(spark):
+    log = pitches(spark, SF).withColumns({"a": F.coalesce("stand", F.lit("-")), "b": F.coalesce("p_throws", F.lit("-"))})
+    contexts = [[], ["a"], ["a", "b"]]
+    tables = T.transition_tables(log, contexts)
+    out = plan(T.transition_probabilities(log, tables, contexts, 10))
+    # One scan of the log; the others are of the small table of the finest context.
+    assert out.count("events.parquet") == 1
+
+
+def test_context_tree_scores_without_shuffling_the_rows(spark):
+    log = pitches(spark, SF).withColumns({"a": F.coalesce("stand", F.lit("-")), "b": F.coalesce("p_throws", F.lit("-"))})
+    text = plan(C.fit(log, ["a", "b"]).predict(log))
+    assert text.count("events.parquet") == 1 and "SortMergeJoin" not in text and "CartesianProduct" not in text
