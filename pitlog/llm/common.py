@@ -93,15 +93,17 @@ def add_columns(
     """``df`` with new columns that a plain function computes from ``inputs``, row by row.
 
     ``start`` runs once in each task and returns the function; that returns a tuple with one
-    value for each of ``fields`` (a DDL list of free names). Rows travel as Arrow batches and
-    their other columns pass through untouched, so no join by id is needed and repeated or
-    missing ids do no harm.
+    value for each of ``fields`` (a DDL list). Rows travel as Arrow batches and their other columns
+    pass through untouched, so no join by id is needed and repeated or missing ids do no harm. A
+    column of ``df`` that has the name of a new one is replaced.
     """
     small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
-    width, kinds = len(df.columns), [_arrow(f.dataType) for f in new]
     names = [free_name(df, f"input_{i}") for i in range(len(inputs))]
-    out_names = [*df.columns, *new.fieldNames()]
+    made = {f.name.lower() for f in new}
+    kept = [f for f in df.schema.fields if f.name.lower() not in made]
+    width, kinds = len(kept), [_arrow(f.dataType) for f in new]
+    out_names = [*[f.name for f in kept], *new.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
@@ -112,8 +114,14 @@ def add_columns(
             made = [pa.array(list(c), type=k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *made], names=out_names)
 
-    schema = T.StructType([*df.schema.fields, *new.fields])
-    return df.select("*", *[c.alias(n) for c, n in zip(inputs, names)]).mapInArrow(run, schema)
+    schema = T.StructType([*kept, *new.fields])
+    passed = ["*"] if len(kept) == len(df.columns) else [F.col(f"`{f.name}`") for f in kept]
+    return df.select(*passed, *[c.alias(n) for c, n in zip(inputs, names)]).mapInArrow(run, schema)
+
+
+def others(df: DataFrame, out: str) -> list[Column]:
+    """The columns of ``df`` beside a result that is named ``out`` and replaces one of that name."""
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()]
 
 
 def utf8(column: str | Column) -> Column:

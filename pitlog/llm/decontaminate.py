@@ -7,13 +7,16 @@ item shorter than the window, but not empty, is hit where it occurs as a whole.
 names the items it comes from. No n-gram table is built and nothing is shuffled: documents
 are scanned where they lie.
 
-The items travel to every task in blocks of at most ``BLOCK_BYTES`` of text, so the size of
-what is broadcast does not grow with the benchmark; a larger benchmark means more passes over
-the documents, each adding its hits to those so far.
+The items travel to every task in blocks of about ``BLOCK_BYTES`` of text, dealt by a hash of
+distinct items and read one at a time, so neither the driver nor what is broadcast grows with the
+benchmark; a larger benchmark means more passes over the texts. Those passes write only the rows
+that were hit, by a row number, and one last pass joins them to the documents. An item longer than
+a block is a block of its own.
 
 A null or empty text has no words, no hits and is not contaminated. Items without words match
 nothing; a missing item id is named "null". Repeated items count once by their id; repeated
-documents are judged one by one. Without items nothing is hit.
+documents are judged one by one. Very long texts and items are taken whole. Without items nothing
+is hit. A column with the name of the result is replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +24,12 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitlog.llm.common import add_columns, folded, free_name, keep, utf8
+from pitlog.llm.common import add_columns, folded, free_name, keep, others, utf8
 
 WINDOW = 13
 LEAST_COVERAGE = 0.05
@@ -173,15 +177,53 @@ def without(text: bytes, spans: Spans) -> bytes:
 _AUTOMATA: dict[str, SuffixAutomaton] = {}
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of bounded size, each read by a query of its own."""
+Items = list[tuple[str, bytes]]
+
+
+def _blocks(items: DataFrame, item_id: str, text: str) -> tuple[int, Callable[[int], Items]]:
+    """How many blocks the distinct items make, and a reader of each."""
     sized = items.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), utf8(text).alias("text")
     ).where("text is not null")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(max(n, 1)))
-    return [[(r.item, bytes(r.text)) for r in sized.where(block == b).collect()] for b in range(n)]
+    if total <= BLOCK_BYTES:
+        return 1, lambda _: [(r.item, bytes(r.text)) for r in sized.distinct().collect()]
+    # Repeated items are one before they are dealt, or a few could fill a block.
+    sized = keep(sized.distinct(), "contamination-items")
+    long = F.length("text") > BLOCK_BYTES
+    row = sized.agg(F.sum(F.when(~long, F.length("text"))).alias("short"), F.count_if(long).alias("long")).first()
+    n, lone = -(-(row.short or 0) // BLOCK_BYTES), row.long
+    dealt = F.pmod(F.xxhash64("item", "text"), F.lit(max(n, 1)))
+
+    def read(k: int) -> Items:
+        if k < n:
+            some = sized.where(~long & (dealt == k))
+        else:
+            some = sized.where(long).orderBy("item", "text").offset(k - n).limit(1)
+        return [(r.item, bytes(r.text)) for r in some.collect()]
+
+    return n + lone, read
+
+
+def _scanner(block: Items, window: int, spark: SparkSession) -> Callable[[], Callable[..., tuple]]:
+    """A task's function: words of a text, hit spans and items; one automaton a worker process."""
+    shared, own = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def start() -> Callable[..., tuple]:
+        if own not in _AUTOMATA:
+            _AUTOMATA.clear()
+            _AUTOMATA[own] = SuffixAutomaton([(i, folded(t).split()) for i, t in shared.value], window)
+        scan = _AUTOMATA[own].scan
+
+        def work(t: bytes | None) -> tuple:
+            words = folded(t).split() if t else []
+            spans, items = scan(words)
+            hits = sum(e - s for s, e in spans)
+            return len(words), hits, sorted(items), [s for s, _ in spans], [e for _, e in spans]
+
+        return work
+
+    return start
 
 
 def find(
@@ -195,49 +237,57 @@ def find(
 ) -> DataFrame:
     """``docs`` with a struct ``out``: n_words, n_hit, items (sorted) and spans of word positions."""
     names = {k: free_name(docs, f"{out}_{k}") for k in ("words", "hits", "items", "starts", "ends")}
-    known = {k: free_name(docs, f"{out}_{k}_before") for k in ("items", "starts", "ends")}
-    columns, at, before = docs.columns, docs, []
-    for k, block in enumerate(_blocks(items, item_id, item_text) or [[]]):
-        if k:  # what the earlier blocks found rides along
-            found = [F.col(f"`{names[x]}`").alias(known[x]) for x in known]
-            at = keep(at.select(*[F.col(f"`{c}`") for c in columns], *found), "contamination")
-            before = [F.col(f"`{known[x]}`") for x in known]
-        shared, own = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def start(shared=shared, own=own) -> Callable[..., tuple]:
-            if own not in _AUTOMATA:
-                _AUTOMATA.clear()
-                _AUTOMATA[own] = SuffixAutomaton([(i, folded(t).split()) for i, t in shared.value], window)
-            scan = _AUTOMATA[own].scan
-
-            def work(t, found=(), starts=(), ends=()) -> tuple:
-                words = folded(t).split() if t else []
-                spans, items = scan(words)
-                if starts:
-                    spans = union(spans, list(zip(starts, ends)))
-                hits = sum(e - s for s, e in spans)
-                return (
-                    len(words),
-                    hits,
-                    sorted(items.union(found)),
-                    [s for s, _ in spans],
-                    [e for _, e in spans],
-                )
-
-            return work
-
-        ddl = (
-            f"`{names['words']}` bigint, `{names['hits']}` bigint, `{names['items']}` array<string>, "
-            f"`{names['starts']}` array<bigint>, `{names['ends']}` array<bigint>"
-        )
-        at = add_columns(at, [utf8(f"`{text}`"), *before], start, ddl)
+    ddl = (
+        f"`{names['words']}` bigint, `{names['hits']}` bigint, `{names['items']}` array<string>, "
+        f"`{names['starts']}` array<bigint>, `{names['ends']}` array<bigint>"
+    )
+    n, read = _blocks(items, item_id, item_text)
+    if n <= 1:
+        at = add_columns(docs, [utf8(f"`{text}`")], _scanner(read(0), window, docs.sparkSession), ddl)
+    else:
+        at = _find_in_blocks(docs, text, n, read, window, names, ddl)
     struct = F.struct(
         F.col(names["words"]).alias("n_words"),
         F.col(names["hits"]).alias("n_hit"),
         F.col(names["items"]).alias("items"),
         F.arrays_zip(F.col(names["starts"]).alias("start"), F.col(names["ends"]).alias("end")).alias("spans"),
     )
-    return at.select(*[F.col(f"`{c}`") for c in columns], struct.alias(out))
+    return at.select(*others(docs, out), struct.alias(out))
+
+
+def _find_in_blocks(
+    docs: DataFrame, text: str, n: int, read: Callable[[int], Items], window: int, names: dict[str, str], ddl: str
+) -> DataFrame:
+    """The hits of all blocks together; rows are known by a number, as ids may repeat."""
+    row = free_name(docs, "row")
+    at = keep(docs.withColumn(row, F.monotonically_increasing_id()), "contamination-rows")
+    parts = []
+    for k in range(n):
+        found = add_columns(
+            at.select(row, utf8(f"`{text}`").alias("t")),
+            [F.col("t")],
+            _scanner(read(k), window, docs.sparkSession),
+            "words bigint, hits bigint, items array<string>, starts array<bigint>, ends array<bigint>",
+        )
+        parts.append(keep(found.where("hits > 0").select(row, "items", "starts", "ends"), "contamination-hits"))
+    hit = reduce(DataFrame.unionAll, parts).groupBy(row).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(f"{row}_items"),
+        F.collect_list(F.arrays_zip("starts", "ends")).alias(f"{row}_spans"),
+    )
+    joined = at.join(hit, row, "left")
+
+    def start() -> Callable[..., tuple]:
+        def work(t: bytes | None, items: list | None, spans: list | None) -> tuple:
+            parts = [[(s["starts"], s["ends"]) for s in one] for one in spans or []]
+            whole = union(*parts)
+            words = len(folded(t).split()) if t else 0
+            hits = sum(e - s for s, e in whole)
+            return words, hits, items or [], [s for s, _ in whole], [e for _, e in whole]
+
+        return work
+
+    inputs = [utf8(f"`{text}`"), F.col(f"`{row}_items`"), F.col(f"`{row}_spans`")]
+    return add_columns(joined, inputs, start, ddl).drop(row, f"{row}_items", f"{row}_spans")
 
 
 def contaminated(found: Column, least_coverage: float = LEAST_COVERAGE) -> Column:

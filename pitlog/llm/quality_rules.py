@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitlog.llm import labelled
-from pitlog.llm.common import WHITE, add_columns, free_name, utf8
+from pitlog.llm.common import WHITE, add_columns, free_name, others, utf8
 
 # Fixed values.
 SYMBOLS = b"#*$%&|<>"
@@ -192,16 +192,26 @@ def _best_condition(values: dict[str, np.ndarray], bad: np.ndarray, inside: np.n
     return found
 
 
-def cover(values: dict[str, np.ndarray], bad: np.ndarray, least_precision: float = LEAST_PRECISION) -> DecisionList:
-    """Sequential covering of the bad rows."""
+def cover(
+    values: dict[str, np.ndarray],
+    bad: np.ndarray,
+    least_precision: float = LEAST_PRECISION,
+    most_rules: int = MOST_RULES,
+    most_conditions: int = MOST_CONDITIONS,
+) -> DecisionList:
+    """Sequential covering of the bad rows.
+
+    At most ``most_rules`` rules of at most ``most_conditions`` conditions each, so that the list
+    stays one a person can read; it ends before where the next rule would be too imprecise.
+    """
     size = len(bad)
     prune_rows = np.arange(size) % 3 == 2
     left, rules = np.ones(size, dtype=bool), []
-    while len(rules) < MOST_RULES:
+    while len(rules) < most_rules:
         grow, prune = left & ~prune_rows, left & prune_rows
         rule: list[Condition] = []
         inside = grow.copy()
-        while len(rule) < MOST_CONDITIONS:
+        while len(rule) < most_conditions:
             condition = _best_condition(values, bad, inside)
             if condition is None:
                 break
@@ -233,15 +243,22 @@ def learn(
     key: str = "doc_id",
     text: str = "text",
     rows: int = labelled.SAMPLE_ROWS,
+    most_rules: int = MOST_RULES,
+    most_conditions: int = MOST_CONDITIONS,
 ) -> DecisionList:
-    """A decision list from at most ``rows`` labelled documents; label 0 is bad."""
+    """A decision list from at most ``rows`` labelled documents; label 0 is bad.
+
+    ``most_rules`` and ``most_conditions`` bound the list, as ``cover`` says.
+    """
     picked = labelled.sample(docs, labels, F.col(label), key, text, rows)
     at = with_statistics(picked, text, "stats").where(~base_failed(F.col("stats")))
     found = at.select(
         F.col("labelled_key"), F.col("label"), *[ratio(F.col("stats"), n).alias(n) for n in RATIOS]
     ).toPandas()
     found = found.sort_values([*found.columns], kind="stable")
-    return cover({n: found[n].to_numpy(dtype=float) for n in RATIOS}, (found["label"] == 0).to_numpy(dtype=bool))
+    values = {n: found[n].to_numpy(dtype=float) for n in RATIOS}
+    bad = (found["label"] == 0).to_numpy(dtype=bool)
+    return cover(values, bad, most_rules=most_rules, most_conditions=most_conditions)
 
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text", out: str = "quality") -> DataFrame:
@@ -255,7 +272,7 @@ def judge(docs: DataFrame, rules: DecisionList, text: str = "text", out: str = "
         rule.alias("rule"),
         (~failed & rule.isNull()).alias("kept"),
     )
-    return at.select(*[F.col(f"`{c}`") for c in docs.columns], verdict.alias(out))
+    return at.select(*others(docs, out), verdict.alias(out))
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:

@@ -12,7 +12,8 @@ base64 or hex are decoded, and reported only if the bytes have the structure of
   the bytes exactly.
 
 Base64 may go over several lines, and line breaks may be escaped, inside a PEM block or without
-one. A candidate that does not parse is not reported. Reported spans may lie inside base spans;
+one. A candidate that does not parse is not reported, nor is DER that nests deeper than the
+``DEEPEST`` levels that key formats stay below. Reported spans may lie inside base spans;
 those stay as they are. Null and empty texts have no spans; repeated rows are scanned each;
 long texts are scanned whole, in time linear in their length.
 """
@@ -176,21 +177,15 @@ def _der_end(data: bytes) -> int:
     return 2 + width + (int.from_bytes(data[2 : 2 + width]) if width else data[1])
 
 
-def _ssh_ends(data: bytes) -> list[int]:
-    """Where the fields that ``data`` begins with may end."""
+def _openssh_end(data: memoryview) -> int:
+    """Where the OpenSSH key that ``data`` begins with ends by its lengths; 0 if it is none.
+
+    The format has a count of keys, which is always one.
+    """
     after = lambda at: at + 4 + int.from_bytes(data[at : at + 4])
-    if data.startswith(_OPENSSH):
-        # A cipher, a derivation with options, the count of public keys, these, the private ones.
-        at = after(after(after(len(_OPENSSH))))
-        left, at = int.from_bytes(data[at : at + 4]) + 1, at + 4
-        while left and at < len(data):
-            left, at = left - 1, after(at)
-        return [] if left else [at]
-    at, out = 0, []
-    while at + 4 <= len(data) and after(at) <= len(data):
-        at = after(at)
-        out.append(at)
-    return out[1:]
+    # A cipher, a derivation with options, the count of public keys, one of them, the private ones.
+    at = after(after(after(len(_OPENSSH))))
+    return after(after(at + 4)) if int.from_bytes(data[at : at + 4]) == 1 else 0
 
 
 def _structure(data: bytes | None) -> str | None:
@@ -236,11 +231,58 @@ def confirmed_spans(text: str) -> list[Span]:
     return out
 
 
+class _Run:
+    """Lines of base64 that belong together, decoded once for each alignment that a line has."""
+
+    def __init__(self, joined: str, stops: dict[int, int]):
+        self.joined, self.stops = joined, stops
+        self.decoded: dict[int, bytes] = {}
+        self.known: dict[int, dict[int, int]] = {}
+
+    def data(self, first: int) -> tuple[bytes, int]:
+        """The decoded bytes of the alignment of place ``first``, and where that is in them."""
+        r = first % 4
+        if r not in self.decoded:
+            length = len(self.joined) - r
+            self.decoded[r] = _bytes(self.joined[r : r + length - (length % 4 == 1)]) or b""
+        return self.decoded[r], (first - r) // 4 * 3
+
+    @staticmethod
+    def place(r: int, at: int) -> int:
+        """The place in the joined lines that follows so many bytes of an alignment."""
+        return r + at // 3 * 4 + (0, 2, 3)[at % 3]
+
+    def fields_end(self, first: int) -> int:
+        """The farthest line end that two or more length-prefixed fields from ``first`` reach; -1 if none.
+
+        Fields after a byte are the same from wherever they are reached, so each is walked once.
+        """
+        data, at = self.data(first)
+        r, known = first % 4, self.known.setdefault(first % 4, {})
+        after = lambda p: p + 4 + int.from_bytes(data[p : p + 4])
+        size = len(data)
+        for _ in range(2):
+            if at + 4 > size or after(at) > size:
+                return -1
+            at = after(at)
+        path = []
+        while at not in known:
+            path.append(at)
+            if at + 4 > size or after(at) > size:
+                known[at] = at if self.place(r, at) in self.stops else -1
+                break
+            at = after(at)
+        far = known[at]
+        for p in reversed(path):
+            far = known[p] = far if far >= 0 else p if self.place(r, p) in self.stops else -1
+        return -1 if far < 0 else self.place(r, far)
+
+
 def wrapped_spans(text: str) -> list[Span]:
     """Spans of structures in base64 over several lines without a header.
 
     What follows the last line may look like one more, so the structure's own lengths say where
-    it ends, which must be the end of a line.
+    it ends, which must be the end of a line. Lines that belong together are decoded once.
     """
     out: list[Span] = []
     done, begins = 0, {}
@@ -257,22 +299,23 @@ def wrapped_spans(text: str) -> list[Span]:
                 size += len(following[1])
                 stops[size] = at
                 parts.append(following[1])
-            joined = "".join(parts)
+            run = _Run("".join(parts), stops)
         first = begins[m.start()]
-        whole = (size - first) // 4 * 4
-        head = _bytes(joined[first : first + min(whole, 40)])
-        if head.startswith(_OPENSSH) or head[4:].startswith(_SSH_TYPES):
-            ends = _ssh_ends(_bytes(joined[first : size - ((size - first) % 4 == 1)]))
+        data, start = run.data(first)
+        head = data[start : start + 30]
+        if head[4:].startswith(_SSH_TYPES):
+            last = run.fields_end(first)
         else:
-            ends = [_der_end(head)]
-        for end in reversed(ends):
-            last = first + end // 3 * 4 + (0, 2, 3)[end % 3]
-            if stops.get(last, 0) > m.end():
-                kind = _structure(_bytes(joined[first:last]))
-                if kind:
-                    done = _PADDING.match(text, stops[last]).end()
-                    out.append((kind, m.start(), done))
-                    break
+            if head.startswith(_OPENSSH):
+                end = _openssh_end(memoryview(data)[start:])
+            else:
+                end = _der_end(head)
+            last = run.place(first % 4, start + end) if end else -1
+        if run.stops.get(last, 0) > m.end():
+            kind = _structure(_bytes(run.joined[first:last]))
+            if kind:
+                done = _PADDING.match(text, run.stops[last]).end()
+                out.append((kind, m.start(), done))
     return out
 
 

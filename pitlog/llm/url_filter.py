@@ -226,4 +226,5 @@ def judge(
         F.col("ruled.rule").alias("rule"),
         F.coalesce("ruled.verdict", "learned").alias("verdict"),
     )
-    return judged.select(*[F.col(whole)[c].alias(c) for c in pages.columns], found.alias(out))
+    kept = [F.col(whole)[c].alias(c) for c in pages.columns if c.lower() != out.lower()]
+    return judged.select(*kept, found.alias(out))

@@ -67,3 +67,30 @@ def test_find_clean_and_their_edges(spark, monkeypatch):
     assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
     assert M.find(docs, items.limit(0), out="hits").where("hits.n_hit > 0").count() == 0
     assert M.find(docs.limit(0), items, out="hits").count() == 0
+
+
+def test_repeated_items_and_one_that_is_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_BYTES", 3_000)
+    r = random.Random(8)
+    words = ["v%d" % i for i in range(400)]
+    rows = [(1, "the same item again and again")] * 3_000 + [(2, " ".join(r.choices(words, k=1_500)))]
+    rows += [(10 + i, " ".join(r.choices(words, k=20))) for i in range(60)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    n, read = M._blocks(items, "item_id", "text")
+    blocks = [read(k) for k in range(n)]
+    # The equal items are one; the long one is alone; the others share blocks of about the size.
+    assert sorted(i for b in blocks for i, _ in b) == sorted({str(i) for i, _ in rows})
+    sizes = [sum(len(t) for _, t in b) for b in blocks]
+    assert max(s for s, b in zip(sizes, blocks) if b[0][0] != "2") < 6_000 and [len(b) for b in blocks][-1] == 1
+    texts = [" ".join(r.choices(words, k=50)) for _ in range(20)]
+    texts += [rows[-1][1] + " x " + rows[3_000][1][300:1_200], "so THE same item again and again", None, "long " * 50_000 + rows[-2][1]]
+    docs = spark.createDataFrame([(i % 7 or None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.withColumn("row", F.lit("clash")).withColumn("contamination", F.lit("clash"))
+    got = M.find(docs, items)
+    assert got.columns == ["doc_id", "text", "row", "contamination"]
+    coded = [(str(i), t.encode().split()) for i, t in set(rows)]
+    for g in got.collect():
+        hit, found = brute((g.text or "").lower().encode().split(), coded, M.WINDOW)
+        c = g.contamination
+        assert {i for s in c.spans for i in range(s.start, s.end)} == hit and list(c["items"]) == sorted(found)
+        assert c.n_hit == len(hit) and g.row == "clash"
