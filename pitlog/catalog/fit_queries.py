@@ -60,7 +60,7 @@ def outcome_stacking(spark, sf_dir):
 
 @query("multiclass_boosting")
 def multiclass_boosting(spark, sf_dir):
-    return tidy(T.boosting_report(_features(spark, sf_dir), rounds=20, depth=4, patience=4))
+    return tidy(T.boosting_report(_features(spark, sf_dir), rounds=8, depth=4, rate=0.3, patience=3))
 
 
 # --- context tree ----------------------------------------------------------------------

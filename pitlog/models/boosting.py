@@ -99,7 +99,7 @@ class MulticlassBooster:
     patience: int = 10
     max_bins: int = 32
     least_rows: int = 5
-    parallelism: int = 4
+    parallelism: int = 8
     seed: int = SEED
 
     def fit(self, rows: DataFrame) -> BoostedClasses:

@@ -136,7 +136,7 @@ def ensemble_members(
 ) -> dict[str, Estimator | MulticlassBooster]:
     """The three multiclass members; ``size`` scales trees, iterations and rounds.
 
-    Boosting has up to 30 rounds a size and stops by itself where rows are held out. ``forest``
+    Boosting has up to 10 rounds a size and stops by itself where rows are held out. ``forest``
     are parameters for the forest, such as the best ones of a search.
     """
     trees = {"numTrees": 20 * size, "maxDepth": 8} | dict(forest or {})
@@ -146,7 +146,7 @@ def ensemble_members(
             maxIter=20 * size, regParam=0.01, family="multinomial", weightCol="w"
         ),
         "boosted": MulticlassBooster(
-            n_classes, rounds=30 * size, depth=4, patience=3 + size, max_bins=max_bins
+            n_classes, rounds=10 * size, depth=4, rate=0.3, patience=2 + size, max_bins=max_bins
         ),
     }
 
@@ -395,16 +395,22 @@ def value_by_type(
     target: str,
     numeric: Sequence[str],
     classes: Sequence[str] = S.SEQUENCE_TYPES,
+    rounds: int = 10,
+    depth: int = 4,
+    validation: str | None = None,
 ) -> dict[str, ValueHead]:
-    """One value regressor per pitch type with a row; a type without rows has none."""
+    """One value regressor per pitch type with a row; a type without rows has none.
+
+    Rows of ``validation`` (a boolean column) decide when the boosting of each type stops.
+    """
     rows = train.where(F.col(target).isNotNull() & F.col("pitch_type_can").isin(*classes))
     counts = {r["pitch_type_can"]: r["n"] for r in
               rows.groupBy("pitch_type_can").agg(F.count(F.lit(1)).alias("n")).collect()}
     heads = {}
     for c in classes:
         if counts.get(c, 0) > 0:
-            est = GBTRegressor(maxIter=3, maxDepth=3, seed=SEED, weightCol="w")
-            heads[c] = ValueHead(target, FeatureSet([], numeric), est).fit(
+            est = GBTRegressor(maxIter=rounds, maxDepth=depth, seed=SEED, weightCol="w")
+            heads[c] = ValueHead(target, FeatureSet([], numeric), est, validation=validation).fit(
                 rows.where(F.col("pitch_type_can") == c)
             )
     return heads

@@ -141,7 +141,7 @@ def outcome_report(rows: DataFrame) -> DataFrame:
     ):
         before = _with_label(train, label, head.classes)
         now = _with_label(ready, label, head.classes).where("y IS NOT NULL")
-        reports.append(against_prior(before, head.score_onto(now), len(head.classes), name))
+        reports.append(against_prior(before, head.score_onto(now, "_own"), len(head.classes), name, "_own"))
     return reduce(DataFrame.unionByName, reports)
 
 

@@ -134,7 +134,7 @@ def sequence_blend_report(features: DataFrame) -> DataFrame:
     inputs = H.FeatureSet(CATEGORICAL, NUMERIC).fit(train.where("not held"))
     vectors = materialise(inputs.transform(train).select("pitch_type_can", "held", "features"), "vectors")
     head = H.boosted_head(
-        vectors, "pitch_type_can", S.PITCH_TYPES, inputs, validation="held", rounds=20, depth=4, patience=4
+        vectors, "pitch_type_can", S.PITCH_TYPES, inputs, validation="held", rounds=8, depth=4, rate=0.3, patience=3
     )
     tree = CT.fit(train.withColumns(lags), CONTEXTS, held=F.col("held"), refit=True)
     later = with_truth(table.where(F.col(ST.BLOCK) >= 3), S.PITCH_TYPES, "pitch_type_can")
