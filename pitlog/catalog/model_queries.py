@@ -20,6 +20,7 @@ from pitlog.models import heads as H
 from pitlog.models import search as SE
 from pitlog.operators import selection as SL
 from pitlog.plans import features as FE
+from pitlog.plans import stacking as ST
 from pitlog.plans import training as T
 
 XWOBA = "estimated_woba_using_speedangle"
@@ -115,7 +116,10 @@ def feature_importance(spark, sf_dir):
 
 @query("sequence_network")
 def sequence_network(spark, sf_dir):
-    """A feed-forward network on the five-step arrays, scored by key."""
+    """A feed-forward network on the five-step arrays, scored by key out of sample.
+
+    Each block of days is scored by a network fitted on the blocks before it; the first has NULL.
+    """
     rows = FE.sequence_arrays(FE.sequence_block(pitches(spark, sf_dir)))
     inputs = {
         f"{c}_{i}": F.col(c)[i].cast("double")
@@ -124,9 +128,10 @@ def sequence_network(spark, sf_dir):
     }
     # The newest velocity step reads the current pitch, so only the older ones are inputs.
     inputs |= {f"seq_dvelo_{i}": F.col("seq_dvelo")[i] for i in range(4)}
-    head = H.sequence_head(rows.withColumns(inputs), list(inputs))
-    out = head.score(rows.withColumns(inputs), KEY)
-    return tidy(out.select(*KEY, V.argmax(F.col("probs")).alias("pred"), F.array_max("probs").alias("p")))
+    table = ST.blocked(rows.withColumns(inputs).select(*KEY, "game_date", "pitch_type_can", *inputs))
+    heads = ST.fit_forward(table, lambda train: H.sequence_head(train, list(inputs)))
+    out = ST.score_forward(table, heads, {"pred": V.argmax, "p": F.array_max})
+    return tidy(out.select(*KEY, "pred", "p"), ["pred"])
 
 
 # --- feature selections, as non-NULL counts of the selected columns -----------------
