@@ -7,8 +7,10 @@ conditions on the other third, keeps it if it is precise there, removes what it
 on. The list becomes one ordered Spark conditional expression, so judging is a projection.
 
 A null or empty text has no words and all statistics 0; it fails the base filter. Repeated rows
-are judged each. Labels that are null, contradict each other, or belong to no document are
-ignored. Without labels of both classes the list is empty and keeps what the base filter keeps.
+are judged each; very long texts are judged whole. Of equally good conditions the first by name,
+then the one below its threshold, then the smallest threshold is taken. Labels that are null,
+contradict each other, or belong to no document are ignored. Without labels of both classes the
+list is empty and keeps what the base filter keeps. A column with the name of the result is replaced.
 """
 
 from __future__ import annotations

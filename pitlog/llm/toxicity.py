@@ -9,8 +9,10 @@ Features are words and their beginnings. Models are fitted on a bounded sample o
 given by a parameter, on all features that tell the classes apart in it. Scoring runs over all documents and whole texts.
 
 A null or empty text has no words; its probabilities are those of the intercepts, and it is not
-toxic. Repeated rows are scored each. Without labels of both classes a category's probability
-is its share in the sample (0 without rows).
+toxic. Repeated rows are scored each. Very long texts are scored whole, by the set of their words.
+A probability equal to the threshold counts as toxic. Without labels of both classes a category's
+probability is its share in the sample (0 without rows). An empty table gives no rows. A column
+with the name of the result is replaced.
 """
 
 from __future__ import annotations

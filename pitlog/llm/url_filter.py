@@ -10,8 +10,10 @@ Training rows are a bounded sample by hash, given by a parameter; suffix statist
 labelled URLs, smoothed towards the overall share, so an unseen suffix gets that share.
 
 A null URL or one without "://" has an empty host and path; no rule fits it and the trees
-judge its features. Repeated rows are judged each. If the labelled URLs are all of one class
-(or there are none) the verdict without a rule is that class (or allow).
+judge its features. Repeated rows are judged each, URLs of any length whole. Of rules of one length
+that fit the first by text wins; of labelled URLs all equal ones count. If the labelled URLs are
+all of one class (or there are none) the verdict without a rule is that class (or allow). An empty
+table gives no rows. A column with the name of the result is replaced.
 """
 
 from __future__ import annotations
