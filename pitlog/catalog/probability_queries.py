@@ -31,17 +31,16 @@ def scored(spark, sf_dir, members: int = 3):
     y = L.lookup(F.col("pitch_type_can"), {t: i for i, t in enumerate(S.PITCH_TYPES)}, -1)
     base = log.select(*KEY, "pitcher", "pitch_type_can", e.alias("e"), F.col("batter").alias("k"), y.alias("y"))
 
-    def raw(m: int):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(N - 1)),
-            lambda c: (
-                (F.col("e") * (c + 3) + F.col("k") * ((c + 1) * (m + 1))) % 97
-                + 1
-                + F.when(c == F.col("y"), 40 * (m + 1)).otherwise(0)
-            ).cast("double"),
-        )
-
-    return base.withColumns({f"p{m}": V.normalise(raw(m)) for m in range(members)})
+    def raw(m: int, c: int):
+        one = (F.col("e") * (c + 3) + F.col("k") * ((c + 1) * (m + 1))) % 97 + 1
+        return (one + F.when(F.col("y") == c, 40 * (m + 1)).otherwise(0)).cast("double")
+
+    # Plain columns run compiled, lambdas do not.
+    names = {m: [f"_r{m}_{c}" for c in range(N)] for m in range(members)}
+    out = base.withColumns({names[m][c]: raw(m, c) for m in range(members) for c in range(N)})
+    out = out.withColumns({f"_t{m}": sum((F.col(n) for n in names[m]), F.lit(0.0)) for m in range(members)})
+    vectors = [F.array(*[F.col(n) / F.col(f"_t{m}") for n in names[m]]).alias(f"p{m}") for m in range(members)]
+    return out.select(*base.columns, *vectors)
 
 
 SCORES = f"""{pitches_sql()},

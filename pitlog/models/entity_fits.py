@@ -141,16 +141,19 @@ def residual_logits(
     """
     d = len(x)
     known = train.where(F.col(y).between(0, n_classes - 1) & F.col(base).isNotNull())
+    # Plain columns, not arrays: the loop over all rows then runs compiled.
+    fits = F.size(base) == n_classes
+    logs = [F.ln(F.greatest(F.get(base, F.lit(k)), F.lit(LEAST_BASE))) for k in range(n_classes)]
     rows = materialise(
         known.select(
             entity,
-            F.array(*[c.cast("double") for c in x]).alias("_x"),
+            *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)],
             F.col(y).cast("int").alias("_y"),
-            F.col(base).alias("_base"),
+            *[F.when(fits, c).alias(f"_log{k}") for k, c in enumerate(logs)],
         ),
         "entity-rows",
     )
-    sums = gram(rows, entity, [F.col("_x")[i] for i in range(d)], minimum=minimum)
+    sums = gram(rows, entity, [F.col(f"_x{i}") for i in range(d)], minimum=minimum)
     inverse = solve(with_ridge(F.col("gram"), penalty, 0.5), identity(d), d)
     zero = F.array_repeat(F.array_repeat(F.lit(0.0), d), n_classes)
     state = Succession("entity-fits")
@@ -164,18 +167,19 @@ def residual_logits(
 
 def _step(rows: DataFrame, fitted: DataFrame, entity: str, d: int, n_classes: int, penalty: float) -> DataFrame:
     """One bounded Newton step of every entity."""
-    at = rows.join(fitted.select(entity, "beta"), entity)
-    gap = F.transform(
-        shifted(F.col("_base"), F.col("beta"), F.col("_x")),
-        lambda p, k: (k == F.col("_y")).cast("double") - p,
-    )
-    at = at.select(entity, "_x", gap.alias("_gap"))
-    parts = [
-        F.sum(F.col("_gap")[k] * F.col("_x")[i]).alias(f"_s{k}_{i}") for k in range(n_classes) for i in range(d)
-    ]
-    sums = at.groupBy(entity).agg(*parts)
-    slopes = F.array(*[F.array(*[F.col(f"_s{k}_{i}") for i in range(d)]) for k in range(n_classes)])
-    joined = fitted.join(sums.select(entity, slopes.alias("slope")), entity)
+    cells = [F.col("beta")[k][i].alias(f"_b{k}_{i}") for k in range(n_classes) for i in range(d)]
+    at = rows.join(fitted.select(entity, *cells), entity)
+    inputs = [F.col(f"_x{i}") for i in range(d)]
+    # ``shifted``, class by class.
+    dots = [sum((F.col(f"_b{k}_{i}") * v for i, v in enumerate(inputs)), F.lit(0.0)) for k in range(n_classes)]
+    at, shares = V.spread_softmax(at, [F.col(f"_log{k}") + b for k, b in enumerate(dots)], "_p")
+    gaps = F.array(*[(F.col("_y") == k).cast("double") - p for k, p in enumerate(shares)])
+    at = at.select(entity, *inputs, F.posexplode(gaps).alias("_k", "_gap"))
+    # A row per class, so that one short aggregate serves all classes.
+    sums = at.groupBy(entity, "_k").agg(*[F.sum(F.col("_gap") * v).alias(f"_s{i}") for i, v in enumerate(inputs)])
+    row = F.struct("_k", F.array(*[F.col(f"_s{i}") for i in range(d)]).alias("s"))
+    slopes = F.transform(F.sort_array(F.collect_list(row)), lambda r: r["s"])
+    joined = fitted.join(sums.groupBy(entity).agg(slopes.alias("slope")), entity)
     pulled = F.zip_with(
         "slope", "beta", lambda s, b: F.zip_with(s, b, lambda u, v: u - F.lit(penalty) * v)
     )
