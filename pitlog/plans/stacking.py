@@ -32,8 +32,12 @@ Fit = Callable[[DataFrame], H.ClassHead]
 
 
 def blocked(df: DataFrame, blocks: int = BLOCKS, date: str = "game_date") -> DataFrame:
-    """``df`` with its block, written once."""
-    return materialise(df.withColumn(BLOCK, day_blocks(df, blocks, date)), "blocks", [BLOCK])
+    """``df`` with its block, in a written table.
+
+    ``df`` itself is computed once; days are counted on its written rows.
+    """
+    rows = materialise(df, "rows")
+    return materialise(rows.withColumn(BLOCK, day_blocks(rows, blocks, date)), "blocks", [BLOCK])
 
 
 def fit_forward(table: DataFrame, fit: Fit, blocks: int = BLOCKS) -> dict[int, H.ClassHead]:
