@@ -86,3 +86,11 @@ def test_nodes_without_a_cut_are_leaves(spark):
     rows = class_rows(spark, 9)
     model = B.MulticlassBooster(3, rounds=1, depth=3, least_rows=5).fit(rows)
     assert model.rounds == 1 and model.members[0].trees[0].numNodes == 1
+
+
+def test_inputs_that_cut_the_same_rows_tie(spark):
+    rows = class_rows(spark, 700).withColumn("twin", F.col("a") * 3 + 1)
+    rows = VectorAssembler(inputCols=["twin", "b", "a"], outputCol="features").transform(rows.drop("features"))
+    for parts in (1, 5):
+        model = B.MulticlassBooster(3, rounds=2, depth=3).fit(rows.repartition(parts, "b"))
+        assert all(m.featureImportances[2] == 0 for m in model.members)
