@@ -37,10 +37,15 @@ def folder(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lost executor costs a re-read."""
+def keep(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a lost executor costs a re-read.
+
+    ``few``: rows are small beside what they are made from, so they are first dealt anew into as
+    few files as their size asks for. On a local file system each file that an executor makes
+    starts ``chmod`` processes, which share its memory until they begin.
+    """
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -89,19 +94,21 @@ def add_columns(
     inputs: list[Column],
     start: Callable[[], Callable[..., tuple]],
     fields: str,
+    beside: list[str] | None = None,
 ) -> DataFrame:
     """``df`` with new columns that a plain function computes from ``inputs``, row by row.
 
     ``start`` runs once in each task and returns the function; that returns a tuple with one
     value for each of ``fields`` (a DDL list). Rows travel as Arrow batches and their other columns
     pass through untouched, so no join by id is needed and repeated or missing ids do no harm. A
-    column of ``df`` that has the name of a new one is replaced.
+    column of ``df`` that has the name of a new one is replaced. With ``beside`` only those columns
+    of ``df`` travel and stay, so that long texts need not come back from Python to be dropped.
     """
     small_batches(df.sparkSession)
     new = T.StructType.fromDDL(fields)
     names = [free_name(df, f"input_{i}") for i in range(len(inputs))]
     made = {f.name.lower() for f in new}
-    kept = [f for f in df.schema.fields if f.name.lower() not in made]
+    kept = [f for f in df.schema.fields if f.name.lower() not in made and (beside is None or f.name in beside)]
     width, kinds = len(kept), [_arrow(f.dataType) for f in new]
     out_names = [*[f.name for f in kept], *new.fieldNames()]
 
@@ -141,15 +148,21 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(mark, key).limit(rows)
 
 
-def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+RANGE_ROWS = 20_000
+
+
+def ranked(df: DataFrame, order: list[Column], out: str, rows: int | None = None) -> DataFrame:
     """``df`` with the number 0, 1, 2, ... of each row in the order, as column ``out``.
 
     Rows are dealt by ranges of the order and sorted where they lie; a row's number is its place
     there plus the rows of the ranges before, one count a range. Rows that the order does not
-    tell apart land in one range, so it should end in a column that does.
+    tell apart land in one range, so it should end in a column that does. ``rows``, where the
+    caller knows how many there are, saves ranges, and so files, of fewer than RANGE_ROWS.
     """
     spark, part, place, before = df.sparkSession, *(free_name(df, n) for n in ("part", "place", "before"))
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if rows is not None:
+        width = min(width, rows // RANGE_ROWS + 1)
     # The id of a sorted row is its partition, which are in order, above its place therein.
     dealt = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
     dealt = keep(dealt.withColumn(place, F.monotonically_increasing_id()), "ranked")

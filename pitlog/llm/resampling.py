@@ -143,8 +143,10 @@ def score(
     longest: int = LONGEST,
     seed: str = SEED,
     out: str = "resampling",
+    beside: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with a struct ``out``: n_words, n_features, weight and score."""
+    """``docs`` (of its columns only ``beside``, if given) with a struct ``out``: n_words, n_features,
+    weight and score; ``beside`` must have the key."""
     names = {k: free_name(docs, f"{out}_{k}") for k in ("words", "features", "weight")}
 
     def start() -> Callable[..., tuple]:
@@ -160,14 +162,15 @@ def score(
         return work
 
     ddl = ", ".join(f"`{n}` bigint" for n in names.values())
-    at = add_columns(docs, [utf8(f"`{text}`")], start, ddl)
+    at = add_columns(docs, [utf8(f"`{text}`")], start, ddl, beside)
     struct = F.struct(
         F.col(names["words"]).alias("n_words"),
         F.col(names["features"]).alias("n_features"),
         F.col(names["weight"]).alias("weight"),
         (F.col(names["weight"]) + noise(F.col(f"`{key}`"), seed)).alias("score"),
     )
-    return at.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()], struct.alias(out))
+    stay = [c for c in docs.columns if c.lower() != out.lower() and (beside is None or c in beside)]
+    return at.select(*[F.col(f"`{c}`") for c in stay], struct.alias(out))
 
 
 def _by_score(scored: DataFrame) -> list[tuple[int, int]]:
@@ -195,7 +198,7 @@ def draw(scored: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERCE
     near = fit & (F.col("score") >= last)
     # Ranges of the order, salted by the row so that equal rows can be dealt to several tasks.
     order = [F.desc("score"), F.asc_nulls_last("id"), F.asc("n_features"), F.asc("n_words"), F.asc("salt")]
-    drawn = ranked(scored.where(near).withColumn("salt", F.monotonically_increasing_id()), order, "place")
+    drawn = ranked(scored.where(near).withColumn("salt", F.monotonically_increasing_id()), order, "place", upto)
     rank = F.col("place") + 1
     drawn = drawn.select(*scored.columns, F.when(rank <= wanted, rank).alias("rank"))
     return drawn.unionAll(scored.where(~near).select("*", undrawn))
@@ -220,5 +223,6 @@ def resample(
         bucket_counts(target, target_text, least, longest, buckets),
     )
     only = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    scored = score(only, worth, "id", "t", least, longest, seed, "found").select("id", "found.*")
-    return draw(keep(scored, "resampling-scores"), least_words, percent)
+    # Only numbers come back from Python, and go to few files.
+    scored = score(only, worth, "id", "t", least, longest, seed, "found", ["id"]).select("id", "found.*")
+    return draw(keep(scored, "resampling-scores", few=True), least_words, percent)

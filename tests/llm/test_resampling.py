@@ -3,11 +3,13 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pitlog.llm import resampling as M
+from pitlog.llm.common import ranked
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -107,3 +109,43 @@ def test_score_keeps_other_columns(spark):
     row = out.first()
     assert out.columns == ["doc_id", "text", "resampling_words", "resampling"]
     assert row.resampling_words == "x" and row.resampling.n_features == 2 and row.resampling.weight == 0
+
+
+def test_only_numbers_come_back_and_go_to_few_files(spark, monkeypatch):
+    plans = []
+    kept = M.keep
+
+    def seen(df, *args, **kinds):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, *args, **kinds)
+
+    monkeypatch.setattr(M, "keep", seen)
+    docs = corpus(4, 300)
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(12)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    got = M.resample(table, spark.createDataFrame([("w1 w2",)], "text string"), percent=50)
+    assert rows_of(got) == brute(docs, ["w1 w2"], percent=50)
+    new = {p.name.rsplit("-", 1)[0][:17]: len([*p.glob("part-*.parquet")]) for p in set(folder.iterdir()) - before}
+    assert new == {"resampling-scores": 1, "ranked": 1}
+    back = re.search(r"MapInArrow run\(.*?\)#\d+, \[(.*?)\]", plans[0]).group(1)
+    assert re.findall(r"(\w+)#", back) == ["id", "found_words", "found_features", "found_weight"]
+
+
+def test_score_with_chosen_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, y string, resampling long")
+    worth = M.gains(M.bucket_counts(docs), M.bucket_counts(docs))
+    whole, some = M.score(docs, worth), M.score(docs, worth, beside=["doc_id", "y"])
+    assert some.columns == ["doc_id", "y", "resampling"]
+    assert some.collect() == whole.select("doc_id", "y", "resampling").collect()
+
+
+@pytest.mark.parametrize("rows,parts", [(None, 8), (100, 1), (45_000, 3), (10**9, 8)])
+def test_ranges_by_rows(spark, monkeypatch, rows, parts):
+    widths = []
+    frame = type(spark.range(1))
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, n, *c: widths.append(n) or deal(df, n, *c))
+    got = ranked(spark.range(300).withColumn("v", 300 - F.col("id")), [F.asc("v")], "place", rows)
+    assert sorted((r.v, r.place) for r in got.collect()) == [(i + 1, i) for i in range(300)]
+    assert widths == [parts]
