@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitlog.llm.common import add_columns, free_name, keep
+from pitlog.llm.common import add_columns, free_name
 from pitlog.llm.spans import Span, replaced
 
 # The base kinds in the order in which they are listed, then the added one.
@@ -293,9 +293,12 @@ def _scan(text: str | None) -> list[dict]:
     ]
 
 
-def candidates(docs: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
-    """``docs`` with an array of candidates, the labelers' votes on each, and its shape."""
-    return add_columns(docs, [F.col(text)], lambda: lambda t: (_scan(t),), f"`{out}` array<{CANDIDATE}>")
+def candidates(
+    docs: DataFrame, text: str = "text", out: str = "candidates", beside: list[str] | None = None
+) -> DataFrame:
+    """``docs`` (of its columns only ``beside``, if given) with an array of candidates, the labelers'
+    votes on each, and its shape."""
+    return add_columns(docs, [F.col(text)], lambda: lambda t: (_scan(t),), f"`{out}` array<{CANDIDATE}>", beside)
 
 
 def learn(found: DataFrame, column: str = "candidates") -> SpanClassifier:
@@ -331,8 +334,8 @@ def judge(
 def mask(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with every span of personal data in ``text`` replaced by its kind, as in <EMAIL>."""
     column, new = free_name(docs, "candidates"), free_name(docs, "masked")
-    seen = keep(candidates(docs.select(F.col(f"`{text}`")), text, column).select(column), "pii-candidates")
-    model = learn(seen, column)
+    # Counted where they are found: what a scan finds is read once, so nothing is written.
+    model = learn(candidates(docs.select(F.col(f"`{text}`")), text, column, []), column)
 
     def start() -> Callable[[str | None], tuple]:
         def work(t: str | None) -> tuple:
@@ -341,7 +344,8 @@ def mask(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
 
         return work
 
-    at = add_columns(docs, [F.col(f"`{text}`")], start, f"`{new}` string")
+    beside = [c for c in docs.columns if c != text]
+    at = add_columns(docs, [F.col(f"`{text}`")], start, f"`{new}` string", beside)
     return at.select(*[F.col(new).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -55,7 +55,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = keep(pii.candidates(_texts(spark, sf_dir)).select("doc_id", "candidates"), "pii-candidates")
+    seen = keep(pii.candidates(_texts(spark, sf_dir), beside=["doc_id"]), "pii-candidates", few=True)
     found = pii.judge(seen, pii.learn(seen))
     return found.select("doc_id", *[c.alias(n) for n, c in pii.as_digest("pii").items()])
 

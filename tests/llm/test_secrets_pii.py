@@ -2,10 +2,11 @@ import base64
 import json
 import random
 import re
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from pitlog.llm import pii, secrets
+from pitlog.llm import pii, queries, secrets
 from pitlog.llm.spans import line, replaced
 
 ALPHABET = list("aA0123459.@+-_ ()%é:='\"#\nfbxyzK:/") + [
@@ -183,3 +184,61 @@ def test_added_spans_and_masks():
     base, wide = pii.candidate_spans("call 202-555-0143, ssn 123-45-6789, bob [at] site [dot] org")
     assert base == [] and line(wide) == "email:36:59,phone:5:17,id:23:34"
     assert replaced("a bcd e", [("x", 2, 5), ("y", 4, 7)]) == "a <X>"
+
+
+PERSONAL = ["mail a@b.co now", "call 202-555-0143", "host 10.0.0.1", "+1 (202) 555-0143", "ssn 123-45-6789", "plain", "", None]
+
+
+def personal(spark, rows=400):
+    """Rows over 12 partitions; ids and texts repeat, some are null."""
+    docs = [(i % 97 or None, PERSONAL[i % 8] and f"{PERSONAL[i % 8]} {i % 50} x@y.org" * (i % 3)) for i in range(rows)]
+    return spark.createDataFrame(docs, "doc_id long, text string").repartition(12)
+
+
+def test_only_candidates_come_back_and_go_to_few_files(spark, monkeypatch, tmp_path):
+    plans, kept = [], queries.keep
+    texts = personal(spark)
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def seen(df, *args, **kinds):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, *args, **kinds)
+
+    monkeypatch.setattr(queries, "keep", seen)
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    got = queries.op3_pii(spark, str(tmp_path))
+    (new,) = set(folder.iterdir()) - before
+    assert len([*new.glob("part-*.parquet")]) == 1
+    back = re.search(r"MapInArrow run\(.*?\)#\d+, \[(.*?)\]", plans[0]).group(1)
+    assert re.findall(r"(\w+)#", back) == ["doc_id", "candidates"]
+    found = pii.candidates(texts)
+    want = pii.judge(found, pii.learn(found)).select("doc_id", *[c.alias(n) for n, c in pii.as_digest().items()])
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got) == rows(want) and got.schema == want.schema and got.count() == 400
+
+
+def test_masks_write_nothing_and_move_each_text_once(spark):
+    docs = personal(spark).withColumn("source", F.lit("s")).select("doc_id", "text", "source")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    got = pii.mask(docs)
+    assert set(folder.iterdir()) == before
+    back = re.search(r"MapInArrow run\(.*?\)#\d+, \[(.*?)\]", got._jdf.queryExecution().analyzed().toString()).group(1)
+    assert re.findall(r"(\w+)#", back) == ["doc_id", "source", "masked"]
+    assert got.schema == docs.schema and got.count() == 400
+    assert {r.source for r in got.collect()} == {"s"}
+    # Spans of each text as the classifier of all rows judges them.
+    found = pii.candidates(docs)
+    judged = pii.judge(found, pii.learn(found)).select("doc_id", "text", "pii").collect()
+    cut = lambda r: replaced(r.text, [(s.kind, s.start, s.end) for s in r.pii]) if r.pii else r.text
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str((r.doc_id, cut(r))) for r in judged)
+
+
+def test_candidates_with_chosen_columns(spark):
+    docs = personal(spark).withColumn("y", F.lit(1))
+    whole, some, alone = pii.candidates(docs), pii.candidates(docs, beside=["doc_id", "y"]), pii.candidates(docs, beside=[])
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert whole.columns == ["doc_id", "text", "y", "candidates"] and alone.columns == ["candidates"]
+    assert some.columns == ["doc_id", "y", "candidates"] and rows(some) == rows(whole.select(*some.columns))
+    assert rows(alone) == rows(whole.select("candidates"))
