@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pitlog.models import boosting as B
 from pitlog.models import histogram_trees as HT
+from pitlog.operators.lineage import Succession
 
 FIRST = [-1.0, -1.1, -1.2]
 
@@ -94,3 +95,49 @@ def test_inputs_that_cut_the_same_rows_tie(spark):
     for parts in (1, 5):
         model = B.MulticlassBooster(3, rounds=2, depth=3).fit(rows.repartition(parts, "b"))
         assert all(m.featureImportances[2] == 0 for m in model.members)
+
+
+def test_rows_are_written_once_for_the_rounds_of_a_short_fit(spark, monkeypatch):
+    puts, put = [], Succession.put
+    monkeypatch.setattr(Succession, "put", lambda self, df: puts.append(df) or put(self, df))
+    rows = class_rows(spark, 600).withColumn("held_out", F.col("a") > 0.8)
+    booster = B.MulticlassBooster(3, rounds=3, depth=2, patience=9)
+    once = booster.fit(rows)
+    assert len(puts) == 1
+    monkeypatch.setattr(HT, "FOLD", 2)
+    folded = booster.fit(rows)
+    assert len(puts) == 3
+    assert len(once.losses) == 4 and folded.losses == pytest.approx(once.losses, rel=1e-12)
+
+
+def test_of_two_siblings_the_smaller_is_added_up(spark, monkeypatch):
+    levels, best_cuts = [], HT._best_cuts
+    monkeypatch.setattr(HT, "_best_cuts", lambda *a: levels.append((a[1], a[2])) or best_cuts(*a))
+    B.MulticlassBooster(3, rounds=1, depth=3).fit(class_rows(spark, 2000))
+    assert len(levels) == 3 and all(len(nodes) == 1 for nodes in levels[0][1].counted)
+    trees, last = levels[2]
+    for tree, nodes, counted in zip(trees, last.active, last.counted):
+        for left, right in zip(nodes[::2], nodes[1::2]):
+            few, many = sorted((left, right), key=lambda node: tree.sums[node][0])
+            light = tree.sums[many][1] < HT.LEAST_SHARE * (tree.sums[few][1] + tree.sums[many][1])
+            assert [n for n in counted if n in (left, right)] == ([few, many] if light else [few])
+
+
+def test_joint_tables_hold_the_sums_of_each_input():
+    r = np.random.default_rng(4)
+    bins = [32, 32, 5, 3, 1, 200]
+    codes = np.stack([np.where(r.random(3000) < 0.9, b // 2, r.integers(0, b, 3000)) for b in bins]).astype("<u2")
+    joints = HT.joint_inputs(codes, bins, 2)
+    assert sorted(f for j in joints for f in j.inputs) == list(range(6))
+    assert len(joints) < 6 and all(2 * j.cells <= HT.JOINT for j in joints)
+    for joint in joints:
+        assert joint.usual == [bins[f] // 2 for f in joint.inputs]
+        cell = sum(codes[f].astype(int) * s for f, s in zip(joint.inputs, joint.strides))
+        table = np.bincount(cell, minlength=joint.cells)[None]
+        for f, sums in joint.by_input(table):
+            assert sums[0].tolist() == np.bincount(codes[f], minlength=bins[f]).tolist()
+
+
+def test_what_is_left_of_weights_is_not_rounding():
+    whole, part = np.array([[3.0, 0.3, 1.0, 1.0]]), np.array([[2.0, 0.1 + 0.2, 1.0, 1.0]])
+    assert HT.difference(whole, part).tolist() == [[1.0, 0.0, 0.0, 0.0]]
